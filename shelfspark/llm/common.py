@@ -65,7 +65,7 @@ def put_file(folder: str, name: str, chunks: Iterator[bytes], attempt: str) -> i
     fs, at = filesystem(folder)
     fs.create_dir(at, recursive=True)
     tmp, size = f"{at}/_{name}.{attempt}", 0
-    with fs.open_output_stream(tmp) as out:
+    with fs.open_output_stream(tmp, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)

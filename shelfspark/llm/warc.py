@@ -115,7 +115,7 @@ def parse_record(data: bytes) -> Record:
 def read_archive(uri: str, chunk: int = 1 << 20) -> Iterator[Record]:
     """Records of an archive, one frame at a time; memory holds one record and one chunk."""
     fs, path = filesystem(uri)
-    with fs.open_input_stream(path) as source:
+    with fs.open_input_stream(path, compression=None) as source:
         left, dictionary = source.read(8), None
         if len(left) == 8 and struct.unpack("<I", left[:4])[0] == SKIPPABLE:
             size = struct.unpack("<I", left[4:])[0]
