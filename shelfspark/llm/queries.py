@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import shipped
 from .bpe import op6_bpe_segment_tree
 from .hash_forest import op2_hash_forest
+from .language import op4_language_svm
 from .norm_buckets import op3_norm_bucket_topk
 from .packing import op9_best_fit_packing
+from .quality import op1_quality_knn
 from .tokenbin import op5_token_binary
 from .warc import op7_warc_zstd
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op1_quality_knn": op1_quality_knn,
         "op2_hash_forest": op2_hash_forest,
         "op3_norm_bucket_topk": op3_norm_bucket_topk,
+        "op4_language_svm": op4_language_svm,
         "op5_token_binary": op5_token_binary,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_warc_zstd": op7_warc_zstd,
