@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once, whatever the rows of an Arrow batch hold.
 SLICE_BYTES = 4 << 20
@@ -88,6 +89,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+#: Join keys that one key's rows are spread over.
+SALTS = 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """A join for a `left` in which one key may hold a large share of the rows: its rows get one of SALTS salts,
+    from a hash of the columns `by` (all by default), and each row of `right`, whose keys are distinct, comes once for each salt."""
+    salt = F.pmod(F.xxhash64(*(by or left.columns)), F.lit(SALTS))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

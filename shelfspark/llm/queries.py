@@ -10,6 +10,7 @@ from ..shipping import shipped
 from .bpe import op6_bpe_segment_tree
 from .hash_forest import op2_hash_forest
 from .language import op4_language_svm
+from .ngram_join import op10_ngram_jaccard
 from .norm_buckets import op3_norm_bucket_topk
 from .packing import op9_best_fit_packing
 from .quality import op1_quality_knn
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_warc_zstd": op7_warc_zstd,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
     return {name: shipped(query) for name, query in found.items()}
 
