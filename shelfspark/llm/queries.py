@@ -14,6 +14,7 @@ from .ngram_join import op10_ngram_jaccard
 from .norm_buckets import op3_norm_bucket_topk
 from .packing import op9_best_fit_packing
 from .quality import op1_quality_knn
+from .sentence_spans import op8_sentence_spans
 from .tokenbin import op5_token_binary
 from .warc import op7_warc_zstd
 
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_binary": op5_token_binary,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op7_warc_zstd": op7_warc_zstd,
+        "op8_sentence_spans": op8_sentence_spans,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_ngram_jaccard": op10_ngram_jaccard,
     }
