@@ -5,7 +5,7 @@ is hashed.  A run that occurs before, in document order and position, is a repea
 the sentences under it are removed; the first occurrence stays whole.  Sentences end
 after . ! ? or a full-width stop at the end of a word, and at line ends; one of more than
 LONG_WORDS words is cut after words that a hash chooses, so that equal passages are cut
-alike wherever they stand, and at last after every 2 * LONG_WORDS words.
+alike wherever they stand, and LONG_WORDS / 2 words after such a cut at the latest.
 """
 
 from __future__ import annotations
@@ -51,11 +51,12 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Sentences]:
     text_end = at[1:][at[1:] > at[:-1]] - 1
     stop[text_end] = True
     number = np.concatenate([[0], np.cumsum(stop)[:-1]])
-    stop |= (np.bincount(number)[number] > LONG_WORDS) & (words % np.uint64(CUT_ONE_IN) == 0)
-    # one word over and over may offer no cut: then every 2 * LONG_WORDS words
+    long = np.bincount(number)[number] > LONG_WORDS
+    stop |= long & (words % np.uint64(CUT_ONE_IN) == 0)
+    # one word over and over may offer no cut: then LONG_WORDS / 2 words after the last
     start = np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])
     since = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    stop |= since % (2 * LONG_WORDS) == 2 * LONG_WORDS - 1
+    stop |= long & (since % (LONG_WORDS // 2) == LONG_WORDS // 2 - 1)
     start = np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])  # first word of each sentence
     first = np.searchsorted(start, at)
     starts = np.append(start, n)
