@@ -25,7 +25,7 @@ MAGIC = b"EFTOKENS"
 #: magic, version, id bytes, documents, documents without id (they come first), ids, where the sequences start
 HEAD = struct.Struct("<8sHHQQQQ")
 #: A shard is closed at the first document that takes it beyond so many ids.
-SHARD_IDS = 1 << 25
+SHARD_IDS = 1 << 24
 END_ID = 1
 
 
@@ -97,7 +97,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 to = min(len(names), int(np.searchsorted(ends, base + shard_ids - held)) + 1)
                 doc_ids += names[first:to]
                 sizes += np.diff(ends[first:to], prepend=base).tolist()
-                ids.append(whole[base : int(ends[to - 1])])
+                part_ids = whole[base : int(ends[to - 1])]
+                ids.append(part_ids.astype(np.uint16) if part_ids.max(initial=0) < 1 << 16 else part_ids)
                 held += int(ends[to - 1]) - base
                 first = to
                 if held >= shard_ids:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Text bytes per dictionary-encoded slice: larger ones repeat fewer chunks.
-ENCODE_BYTES = 16 << 20
+ENCODE_BYTES = 8 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -91,7 +91,7 @@ class WordRules:
 class ChunkEncoder:
     """Ids of texts; `encode_many` gives the ids of distinct chunks.  The cache restarts after `limit` chunks."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
         self.encode_many, self.limit = encode_many, limit
         self._restart()
 
@@ -135,7 +135,7 @@ class ChunkEncoder:
         return ids, after[ends - ends[0]]
 
 
-def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000) -> Callable[[list[str]], list[list[int]]]:
+def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 200_000) -> Callable[[list[str]], list[list[int]]]:
     """Chunk ids from word ids, with a cache of words that restarts after `limit`."""
     known: dict[str, list[int]] = {}
 
