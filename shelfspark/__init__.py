@@ -1,0 +1 @@
+"""Product-catalog analytics on Spark: column functions, relational operators, sources, plans and streams."""
