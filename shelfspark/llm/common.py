@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once, whatever the rows of an Arrow batch hold.
 SLICE_BYTES = 4 << 20
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +42,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: nothing upstream is ever computed twice."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")  # the table is the copy that counts: its shuffle files go with the write's end
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before) if before is not None else spark.conf.unset(DROP_SHUFFLES)
     return spark.read.schema(df.schema).parquet(path)
 
 
