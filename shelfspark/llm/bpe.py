@@ -85,9 +85,8 @@ class SegmentTreeBPE:
         tree[:, leaves:] = self._keys(sym[:, :leaves], sym[:, 1 : leaves + 1], np.arange(leaves, dtype=np.int64))
         for k in range(leaves - 1, 0, -1):
             np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
-        top = 1 if leaves > 1 else 1
-        while len(rows := np.flatnonzero(tree[:, top] < _NONE)):
-            key = tree[rows, top]
+        while len(rows := np.flatnonzero(tree[:, 1] < _NONE)):
+            key = tree[rows, 1]
             at, k = key & _AT, key >> 32
             right = nxt[rows, at]
             after, before = nxt[rows, right], prv[rows, at]
@@ -146,7 +145,8 @@ class SegmentTreeBPE:
             sym[at] = self.by_pair[sym[at], sym[right]][1]
             after = nxt[at] = nxt[right]
             sym[right] = -1
-            put(right, none)
+            if right < leaves:  # the last symbol begins no pair
+                put(right, none)
             if after < n:
                 prv[after] = at
             put(at, key(at, after) if after < n else none)

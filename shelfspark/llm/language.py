@@ -87,8 +87,8 @@ class OneVersusOne:
     """A machine for each pair of names; the name with most wins is chosen, then with the larger margins."""
 
     def __init__(self, names: list[str], X: np.ndarray, labels: np.ndarray):
-        self.names, self.pairs = names, list(combinations(range(len(names)), 2))
-        self.weights = np.array([machine(X[m := np.isin(labels, [names[a], names[b]])], np.where(labels[m] == names[a], 1, -1).astype(np.float32)) for a, b in self.pairs]).reshape(len(self.pairs), -1)
+        self.names, self.pairs = [str(x) for x in names], list(combinations(range(len(names)), 2))
+        self.weights = np.array([machine(X[m := np.isin(labels, [names[a], names[b]])], np.where(labels[m] == names[a], 1, -1).astype(np.float32)) for a, b in self.pairs]).reshape(len(self.pairs), X.shape[1] + 1)
 
     def decide(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(chosen index, confidence: the winner's least sigmoid of a margin)."""

@@ -33,7 +33,7 @@ def stored(vectors: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def matrix(column: pa.Array, dims: int, dtype=np.float64) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), dims)
 
 
 def query_pieces(path: str, every: int) -> Iterator[pa.RecordBatch]:
