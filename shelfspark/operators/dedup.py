@@ -20,11 +20,11 @@ def first_of_each(df: DataFrame, key: Column, order: str = "ord") -> DataFrame:
     The least row of a key is an aggregate, so tasks reduce their own rows first and no key, however
     common, meets one task whole.
     """
-    keyed = df.withColumn("_k", F.nullif(key, F.lit("")))
+    keyed = df.withColumn("_first_key", F.nullif(key, F.lit("")))
     rest = [c for c in df.columns if c != order]
-    best = keyed.where("_k is not null").groupBy("_k").agg(F.min_by(F.struct(*rest), order).alias("_row"), F.min(order).alias(order)) if rest else keyed
+    best = keyed.where("_first_key is not null").groupBy("_first_key").agg(F.min_by(F.struct(*rest), order).alias("_row"), F.min(order).alias(order)) if rest else keyed
     kept = best.select(*(F.col(f"_row.{c}").alias(c) if c != order else F.col(order) for c in df.columns))
-    return kept.unionByName(keyed.where("_k is null").drop("_k"))
+    return kept.unionByName(keyed.where("_first_key is null").drop("_first_key"))
 
 
 def cascade(df: DataFrame, tiers: Sequence[Column], order: str = "ord") -> DataFrame:
@@ -68,7 +68,7 @@ def dedup_merge(df: DataFrame, order: str = "ord") -> DataFrame:
     """One row for each single key: every field is the first that isn't empty, in order."""
     rest = [c for c in df.columns if c != order]
     first = [F.coalesce(F.min(F.when(F.col(c) != "", F.struct(F.col(order), F.col(c))))[c], F.lit("")).alias(c) for c in rest]
-    return df.groupBy(single_key().alias("_k")).agg(F.min(order).alias(order), *first).select(df.columns)
+    return df.groupBy(single_key().alias("_first_key")).agg(F.min(order).alias(order), *first).select(df.columns)
 
 
 def ordered_union(first: DataFrame, second: DataFrame, order: str = "ord") -> DataFrame:
