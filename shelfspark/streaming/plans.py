@@ -32,7 +32,7 @@ def cooling_down(failures: DataFrame, seconds: int, late: str = "10 minutes") ->
     return failures.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds"), "provider").agg(F.max("ts").alias("last")).select("provider", (F.col("last") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("until"))
 
 
-_OUT = "run_id long, status string, at timestamp"
+_OUT = "run_id string, status string, at timestamp"
 _STATE = "status string, started timestamp"
 
 
@@ -59,4 +59,5 @@ def lifecycle(events: DataFrame, stale_hours: int = 6, late: str = "1 hour") ->
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["run_id", "status", "at"])
 
+    events = events.withColumn("run_id", F.col("run_id").cast("string"))
     return events.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
