@@ -60,7 +60,7 @@ class WordRules:
         self.word = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): letters[b] for b in range(128) if letters[b] != chr(b)})
-        self.wide = letters
+        self.wide = str.maketrans({chr(b): letters[b] for b in range(256) if letters[b] != chr(b)})
 
     def _newer(self, part: str) -> list[str]:
         """For characters younger than Python's tables: the library's own steps before its merges."""
@@ -75,7 +75,10 @@ class WordRules:
         if chunk.isascii():
             if "<|" not in chunk or self.cut_added is None or not self.cut_added.search(chunk):
                 low = chunk.lower()
-                return [low] if low.isalpha() else [w.translate(self.letters) for w in self.word.findall(low)]
+                if low.isalpha():
+                    return [low]
+                words = self.word.findall(low)
+                return words if low.isprintable() else [w.translate(self.letters) for w in words]  # a space isn't in a chunk
         out: list[str | int] = []
         for part in self.cut_added.split(chunk) if self.cut_added else [chunk]:
             if part in self.added:
@@ -84,7 +87,7 @@ class WordRules:
                 out += self._newer(part)
             elif part:
                 low = "".join(map(str.lower, unicodedata.normalize("NFC", part)))  # each character by itself: no final sigma
-                out += ["".join(self.wide[b] for b in w.encode("utf-8", "surrogatepass")) for w in self.word.findall(low)]
+                out += [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.wide) for w in self.word.findall(low)]
         return out
 
 
