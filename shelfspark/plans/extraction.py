@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, url
 from ..operators import pages as page_ops
+from ..operators import detail as detail_ops
 from ..operators import payloads, structured
 from ..sources import feeds
 from ..sources import nodes as dom
@@ -211,3 +212,49 @@ def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def absolute_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     href = F.concat(F.lit("../a/p/"), F.col("p_partkey").cast("string"))
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), url.absolute_url(href, F.lit("https://shop.example/x/list")).alias("absolute"))
+
+
+DETAILS = [
+    (1, "https://d.example/p/one", '<body><nav><a href="/p/menu">Menu</a></nav><h1>Blue Soap</h1><dl><dt>Item No:</dt><dd>BS-16</dd><dt>Case Pack</dt><dd>12</dd><dt>UPC</dt><dd>0-12345-67890-5</dd></dl><p>$3.75</p><img src="/i/b.jpg"><table><tr><td>a</td></tr><tr><td>b</td></tr><tr><td>c</td></tr></table></body>'),
+    (2, "https://d.example/p/two", '<head><meta itemprop="gtin13" content="4006381333931"><script>var p = {"productID":"012345678905"}</script></head><body><h1>Red Soap</h1><span>Unit Price: $2.00</span></body>'),
+    (3, "https://d.example/p/three", '<body><script>window.x = {productID: "012345678905"};</script><h1>Green</h1></body>'),
+    (4, "https://d.example/list", '<body><div class="grid"><div class="product-card"><a href="/product/tea-box"><img src="/t.jpg" alt="Tea"></a><h3>Tea Box</h3><b>$4.00</b></div><div class="product-card"><a href="/product/cup">Cup</a><b>$1.00</b></div><div class="product-card"><a href="/collections/all">View all</a></div></div><a href="https://else.example/product/x">x</a></body>'),
+]
+
+
+def _details(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    p = spark.createDataFrame(DETAILS, "page_id long, url string, html string")
+    return p, dom.nodes(p)
+
+
+@query("q_detail_identifiers", expect([(1, "012345678905", "label"), (2, "4006381333931", "meta"), (3, "012345678905", "script")], ["page_id", "upc", "evidence"]))
+def detail_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail_ops.identifiers(*_details(spark)).select("page_id", "upc", "evidence")
+
+
+_DROWS = [(1, "Blue Soap", "BS-16", "012345678905", "$3.75", "12", "https://d.example/i/b.jpg"), (2, "Red Soap", "", "4006381333931", "$2.00", "", ""), (3, "Green", "", "012345678905", "", "", "")]
+
+
+@query("q_detail_rows", expect(_DROWS, ["page_id", "product_name", "sku", "upc", "price", "case_pack", "image_url"]))
+def detail_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail_ops.detail_rows(*_details(spark)).where("page_id < 4").select("page_id", "product_name", "sku", "upc", "price", "case_pack", "image_url")
+
+
+@query("q_rich_detail", expect([(1, 8), (3, 0)], ["page_id", "score"], ints=("score",)))
+def rich_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail_ops.rich_detail(_details(spark)[1]).where("page_id in (1, 3)").select("page_id", "score")
+
+
+@query("q_scored_links", expect([(1, "https://d.example/p/menu", 5), (4, "https://d.example/product/tea-box", 9), (4, "https://d.example/product/cup", 6), (4, "https://d.example/collections/all", -6)], ["page_id", "href", "score"], ints=("score",)))
+def scored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail_ops.scored_links(*_details(spark)).select("page_id", "href", "score")
+
+
+@query("q_best_links", expect([(1, "https://d.example/p/menu", 5), (4, "https://d.example/product/tea-box", 9)], ["page_id", "href", "score"], ints=("score",)))
+def best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail_ops.best_links(detail_ops.scored_links(*_details(spark)))
+
+
+@query("q_cards", expect([(4, "Tea Box", "$4.00", "https://d.example/t.jpg", "https://d.example/product/tea-box"), (4, "Cup", "$1.00", "", "https://d.example/product/cup")], ["page_id", "product_name", "price", "image_url", "product_url"]))
+def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detail_ops.cards(*_details(spark)).where("looks_like_product").select("page_id", "product_name", "price", "image_url", "product_url")
