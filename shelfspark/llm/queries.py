@@ -15,6 +15,7 @@ from .norm_buckets import op3_norm_bucket_topk
 from .packing import op9_best_fit_packing
 from .quality import op1_quality_knn
 from .sentence_spans import op8_sentence_spans
+from .sql import ORACLES
 from .tokenbin import op5_token_binary
 from .warc import op7_warc_zstd
 
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
