@@ -33,7 +33,7 @@ FAMILIES = {
     "malayic": "id ms",
 }
 BITS = 13
-SAMPLE, FOLDS, HELD = 400, 4, 2
+SAMPLE, FOLDS, HELD = 250, 4, 2
 ROUNDS, PENALTY, SLOPE = 150, 1e-4, 4.0
 UNKNOWN = "und"
 
@@ -144,7 +144,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    return LanguageModel(np.array([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32), np.array([r.lang for r in rows]))
+    X, langs = np.empty((len(rows), 1 << BITS), np.float32), np.array([r.lang for r in rows])
+    for k, r in enumerate(rows):
+        X[k] = np.frombuffer(r.x, np.float16)
+    del rows
+    return LanguageModel(X, langs)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

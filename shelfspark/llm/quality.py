@@ -26,7 +26,7 @@ WIDTH = (1 << BYTE_BITS) + (1 << SHAPE_BITS) + REPEAT_BINS
 #: How much the three kinds of features count.
 WEIGHTS = (0.3, 1.0, 0.7)
 #: Labelled rows of each label that are learned from, directions kept, neighbours that vote, the power of the cosine.
-SAMPLE, DIRECTIONS, NEIGHBOURS, POWER = 1200, 48, 15, 4
+SAMPLE, DIRECTIONS, NEIGHBOURS, POWER = 600, 48, 15, 4
 FOLDS, THRESHOLD = 5, 0.3
 
 
@@ -66,12 +66,12 @@ class Model:
 
 
 def _weighted(X: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    Z, parts, at = X * rarity, [], 0
+    Z, at = X * rarity, 0
     for width, weight in zip((1 << BYTE_BITS, 1 << SHAPE_BITS, REPEAT_BINS), WEIGHTS, strict=True):
         part = Z[:, at : at + width]
-        parts.append(part * (weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)))
+        part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
         at += width
-    return np.hstack(parts)
+    return Z
 
 
 def fit(X: np.ndarray, labels: np.ndarray, totals: dict[int, int]) -> Model:
@@ -107,7 +107,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     totals = {0: 0, 1: 0} | {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     rows.sort(key=lambda r: (r.quality, bytes(r.x)))
-    return fit(np.array([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32), np.array([r.quality for r in rows]), totals)
+    X, y = np.empty((len(rows), WIDTH), np.float32), np.array([r.quality for r in rows])
+    for k, r in enumerate(rows):
+        X[k] = np.frombuffer(r.x, np.float16)
+    del rows
+    return fit(X, y, totals)
 
 
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
