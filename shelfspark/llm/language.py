@@ -35,6 +35,8 @@ FAMILIES = {
 BITS = 13
 SAMPLE, FOLDS, HELD = 250, 4, 2
 ROUNDS, PENALTY, SLOPE = 150, 1e-4, 4.0
+#: `least_sure` takes this quantile of held-out rows, and this share of it, so that learned languages stay.
+QUANTILE, SHARE = 0.005, 0.8
 UNKNOWN = "und"
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -111,6 +113,7 @@ class LanguageModel:
         families = np.array([family(x) for x in langs])
         self.upper = OneVersusOne(sorted(set(families)), X, families)
         self.lower = [OneVersusOne(sorted(set(langs[families == f])), X[families == f], langs[families == f]) for f in self.upper.names]
+        self.centres = {str(x): (c := X[langs == x].mean(0)) / max(float(np.linalg.norm(c)), 1e-9) for x in sorted(set(langs))}
 
     def predict(self, X: np.ndarray) -> tuple[list[str], np.ndarray]:
         which, sure = self.upper.decide(X)
@@ -125,6 +128,10 @@ class LanguageModel:
                     names[r] = below.names[b]
         return names, score
 
+    def fit(self, X: np.ndarray, names: list[str]) -> np.ndarray:
+        """Cosine of each row to the mean row of its language: low for scripts and spellings that were not learned."""
+        return np.array([float(x @ self.centres[n]) for x, n in zip(X, names, strict=True)])
+
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Learn from documents with a language outside the held-out fold; None where there are none.
@@ -151,8 +158,24 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     return LanguageModel(X, langs)
 
 
+def least_sure(docs: DataFrame, model: LanguageModel | None, sample: int = SAMPLE) -> tuple[float, float]:
+    """(lang_score, lang_fit) that held-out rows predicted right hardly ever fall below; zeros where there are none.
+
+    A score has a floor that the number of languages sets, and one learned language scores 1 always, so no fixed
+    value tells an unlearned language. Driver memory: two numbers of at most 2 * `sample` rows of each language.
+    """
+    held = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(FOLDS) == HELD))
+    chosen = per_label(held.select("doc_id", "lang"), "lang", sample).distinct()
+    texts = held.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # bounded by the sample
+    right = predict_language(texts, model).where("lang_pred = lang").select("lang_score", "lang_fit").collect()
+    if not right:
+        return 0.0, 0.0
+    score, fit = SHARE * np.quantile(np.array(right, float), QUANTILE, axis=0)
+    return float(score), float(fit)
+
+
 def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """`docs` with lang_pred and lang_score; `und` with score 0 where a text is null or has no letter, or nothing was learned."""
+    """`docs` with lang_pred, lang_score and lang_fit; `und` with zeros where a text is null or has no letter, or nothing was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of 2**BITS weights
     names = docs.columns
 
@@ -161,15 +184,17 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             text = pc.fill_null(b.column("text"), "")
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
             if shared.value is None:
-                langs, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+                langs, score, fit = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
             else:
-                langs, score = shared.value.predict(features(text))
+                X = features(text)
+                langs, score = shared.value.predict(X)
+                fit = np.where(letters, shared.value.fit(X, langs), 0.0)
                 langs = [x if ok else UNKNOWN for x, ok in zip(langs, letters.tolist(), strict=True)]
                 score = np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score)], [*names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score), pa.array(fit)], [*names, "lang_pred", "lang_score", "lang_fit"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, lang_fit double")
 
 
 def op4_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:

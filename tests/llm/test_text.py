@@ -313,3 +313,16 @@ def test_pipeline_stage_by_stage(spark, tables):
     packed = cp.run(spark, d).collect()
     assert {r.doc_id for r in packed} == set(kept[3])
     assert [name for name, _ in cp.STAGES] == ["quality classifier", "language id", "n-gram jaccard join", "substring dedup", "best-fit packing"]
+
+
+def test_pipeline_rejects_languages_that_were_not_learned(spark, tables):
+    import corpus_pipeline as cp
+
+    rows = [doc(i, words(lang, i, 20 + i % 40), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 60)]
+    rng = random.Random(5)
+    other = ["今天天气很好我们一起去公园散步" * 9, "сегодня хорошая погода и мы идем гулять в парк " * 9, " ".join("".join(rng.choices("bcdfgjkmpqvwxyz", k=7)) for _ in range(90))]
+    odd = [doc(900 + k, t, None) for k, t in enumerate(other)] + [doc(910 + k, words(lang, 7000 + k, 60), None) for k, lang in enumerate(["en", "de", "fr", "es"])]
+    for given, clean in ((rows, range(910, 914)), (rows[::4], [910])):  # four languages, and one whose score is always 1
+        docs = table(spark, tables(documents=(given + odd, DOCS)), "documents")
+        kept = {r.doc_id for r in cp.language_stage(spark, docs, "").collect()}
+        assert not kept & {900, 901, 902} and kept >= set(clean) and len(kept & {r[0] for r in given}) >= 0.98 * len(given)
