@@ -6,6 +6,11 @@ the sentences under it are removed; the first occurrence stays whole.  Sentences
 after . ! ? or a full-width stop at the end of a word, and at line ends; one of more than
 LONG_WORDS words is cut after words that a hash chooses, so that equal passages are cut
 alike wherever they stand, and LONG_WORDS / 2 words after such a cut at the latest.
+
+Whether a sentence is long depends on what it is glued to.  So pieces, which are cut in
+that way in every sentence, short or long, make runs as well: from every piece on, the
+shortest of at least PIECE_WORDS words.  Those without a stop inside, and those whose
+whole sentences hold a run already, are left out; both are told by the run's own words.
 """
 
 from __future__ import annotations
@@ -23,15 +28,19 @@ from .grams import joined
 from .shingles import _BASE, _INVERSE, _powers, mix, word_hashes
 
 RUN, LEAST_WORDS, LONG_WORDS, CUT_ONE_IN = 3, 15, 20, 6
+PIECE_WORDS = 30
 
 
 @dataclass
 class Sentences:
-    """The sentences of a batch of texts. `first` has the sentence where each text starts, and the end."""
+    """The pieces, sentences and runs of a batch of texts. `first` and `first_run` have where each text starts, and the end."""
 
     first: np.ndarray
-    begin: np.ndarray  # first byte of each, in all texts' bytes
-    run_end: np.ndarray  # the sentence after the run that starts here; -1 where no run does
+    begin: np.ndarray  # first byte of each piece, in all texts' bytes
+    sentence: np.ndarray  # number of each piece's sentence
+    first_run: np.ndarray
+    run_start: np.ndarray  # pieces, ascending
+    run_end: np.ndarray  # the piece after the run
     run_hash: np.ndarray
 
 
@@ -41,7 +50,8 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Sentences]:
     words, at, s, e = word_hashes(data, ends)
     n = len(words)
     if not n:
-        return data, ends, Sentences(np.zeros(len(ends), np.int64), s, s, words)
+        none = np.zeros(len(ends), np.int64)
+        return data, ends, Sentences(none, s, s, none, s, s, words)
     last = data[e - 1]
     stop = (last == 46) | (last == 33) | (last == 63)
     wide = np.flatnonzero((last == 0x82) & (e - s >= 3))
@@ -52,24 +62,37 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Sentences]:
     stop[text_end] = True
     number = np.concatenate([[0], np.cumsum(stop)[:-1]])
     long = np.bincount(number)[number] > LONG_WORDS
-    stop |= long & (words % np.uint64(CUT_ONE_IN) == 0)
+    piece = stop | (words % np.uint64(CUT_ONE_IN) == 0)
     # one word over and over may offer no cut: then LONG_WORDS / 2 words after the last
-    start = np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])
+    start = np.concatenate([[0], np.flatnonzero(piece[:-1]) + 1])
     since = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    stop |= long & (since % (LONG_WORDS // 2) == LONG_WORDS // 2 - 1)
-    start = np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])  # first word of each sentence
+    piece |= since % (LONG_WORDS // 2) == LONG_WORDS // 2 - 1
+    unit = stop | long & piece
+    start = np.concatenate([[0], np.flatnonzero(piece[:-1]) + 1])  # first word of each piece
+    opens = np.concatenate([[0], np.flatnonzero(unit[:-1]) + 1])  # first word of each sentence
     first = np.searchsorted(start, at)
+    # runs of sentences, as first words and words after the last
+    m, opened = len(opens), np.append(opens, n)
+    to = np.maximum(np.searchsorted(opened, opens + LEAST_WORDS), np.arange(m) + RUN)
+    of = np.searchsorted(opens, at)
+    ok = to <= np.repeat(of[1:], np.diff(of))
+    a, b = opens[ok], opened[to[ok]]
+    # runs of pieces
     starts = np.append(start, n)
-    m = len(start)
-    to = np.maximum(np.searchsorted(starts, start + LEAST_WORDS), np.arange(m) + RUN)
-    limit = np.repeat(first[1:], np.diff(first))
-    ok = to <= limit
-    to = np.where(ok, to, -1)
+    to = np.searchsorted(starts, start + PIECE_WORDS)
+    ok = to <= np.repeat(first[1:], np.diff(first))
+    pstart, pend = start[ok], starts[to[ok]]
+    stops, whole = np.flatnonzero(stop), np.concatenate([[0], np.cumsum(unit)])
+    k, last = np.searchsorted(stops, pstart), np.searchsorted(stops, pend - 1) - 1
+    some = k <= last  # a stop before the last word
+    pstart, pend, low, high = pstart[some], pend[some], stops[k[some]], stops[last[some]]
+    more = (whole[high + 1] - whole[low + 1] < RUN) | (high - low < LEAST_WORDS)
+    runs = np.unique(np.concatenate([a * (n + 1) + b, pstart[more] * (n + 1) + pend[more]]))
+    a, b = runs // (n + 1), runs % (n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * _powers(_BASE, n), out=sums[1:])
-    a, b = start, starts[np.where(ok, to, 0)]
     h = mix((sums[b] - sums[a]) * _powers(_INVERSE, n)[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return data, ends, Sentences(first, s[start], to, h)
+    return data, ends, Sentences(first, s[start], np.searchsorted(opens, start, side="right") - 1, np.searchsorted(a, at), np.searchsorted(start, a), np.searchsorted(starts, b), h)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -78,15 +101,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, th, at): the hash of every run and the sentence where it starts."""
+    """(h, doc_id, th, at): the hash of every run and its number in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             _, _, sent = split(b.column("text"))
-            rows = np.flatnonzero(sent.run_end >= 0)
-            owner = np.searchsorted(sent.first, rows, side="right") - 1
+            rows = np.arange(len(sent.run_hash))
+            owner = np.searchsorted(sent.first_run, rows, side="right") - 1
             take = pa.array(owner)
-            yield pa.RecordBatch.from_pydict({"h": sent.run_hash[rows].view(np.int64), "doc_id": b.column("doc_id").take(take), "th": b.column("_th").take(take), "at": (rows - sent.first[owner]).astype(np.int32)})
+            yield pa.RecordBatch.from_pydict({"h": sent.run_hash.view(np.int64), "doc_id": b.column("doc_id").take(take), "th": b.column("_th").take(take), "at": (rows - sent.first_run[owner]).astype(np.int32)})
 
     return _keyed(docs.select("doc_id", "text")).mapInArrow(run, "h long, doc_id long, th long, at int")
 
@@ -106,7 +129,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with text without repeats, n_sentences and n_removed; a text without repeats stays as it is, null stays null."""
+    """`docs` with text without repeats, n_sentences and n_removed (sentences that lost words); a text without repeats stays as it is, null stays null."""
     names = [c for c in docs.columns if c != "text"]
     found = cut(repeats(docs), "repeats").select(F.col("doc_id").alias("_id"), F.col("th").alias("_t"), "starts")
     keyed = _keyed(docs)
@@ -117,6 +140,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             data, ends, sent = split(b.column("text"))
             texts, removed, given = [], [], b.column("text")
             starts = b.column("starts").to_pylist()
+            after = np.concatenate([[0], sent.sentence + 1])  # texts end sentences
+            counts = np.diff(after[sent.first])
             for i, marks in enumerate(starts):
                 if not marks:
                     texts.append(given[i].as_py())
@@ -124,16 +149,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 lo, hi = int(sent.first[i]), int(sent.first[i + 1])
                 edge = np.zeros(hi - lo + 1, np.int32)
-                marks = np.array(marks)
-                np.add.at(edge, marks, 1)
-                np.add.at(edge, sent.run_end[lo + marks] - lo, -1)
+                marks = sent.first_run[i] + np.array(marks)
+                np.add.at(edge, sent.run_start[marks] - lo, 1)
+                np.add.at(edge, sent.run_end[marks] - lo, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 begin = np.append(sent.begin[lo:hi], ends[i + 1])
                 begin[0] = ends[i]
                 keep = np.repeat(~gone, np.diff(begin))
                 texts.append(data[ends[i] : ends[i + 1]][keep].tobytes().decode("utf-8"))
-                removed.append(int(gone.sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(np.diff(sent.first)), pa.array(removed, pa.int64())], [*names, "text", "n_sentences", "n_removed"])
+                removed.append(len(np.unique(sent.sentence[lo:hi][gone])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(counts), pa.array(removed, pa.int64())], [*names, "text", "n_sentences", "n_removed"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return both.mapInArrow(run, f"{schema}, text string, n_sentences long, n_removed long")

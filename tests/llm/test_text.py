@@ -271,6 +271,22 @@ def test_spans_against_a_loop(spark, tables):
     assert got[40].text is None and got[41].text == "" and got[42].text == "  " and got[21].n_removed == 8 and got[20].n_removed == 0  # the first sentence of the passage is glued to another there
 
 
+def test_passages_of_few_sentences_glued_to_other_text(spark, tables):
+    rows, passages = [], {}
+    for k in range(30):
+        passages[k] = prose(9000 + k, 51, sentence=17)
+        lead, more = prose(9100 + k, 8, sentence=10**9), prose(9200 + k, 8, sentence=10**9)
+        other, rest = prose(9300 + k, 11, sentence=10**9), prose(9400 + k, 6, sentence=10**9)
+        # free; glued at the start; glued at both ends, without its last stop
+        rows += [doc(10 * k, passages[k] + "\n" + prose(9500 + k, 40)), doc(10 * k + 1, lead + " " + passages[k] + "\n" + more), doc(10 * k + 2, other + " " + passages[k][:-1] + " " + rest)]
+    got = {r.doc_id: r for r in sentence_spans.op8_sentence_spans(spark, tables(documents=(rows, DOCS))).collect()}
+    for k in range(30):
+        lost = [len(rows[3 * k + j][1].split()) - len(got[10 * k + j].text.split()) for j in range(3)]
+        assert lost[0] == got[10 * k].n_removed == 0 and 30 <= lost[1] <= 51 and 30 <= lost[2] <= 51, (k, lost)
+        lead, rest = rows[3 * k + 1][1].split()[:8], rows[3 * k + 2][1].split()[-6:]
+        assert got[10 * k + 1].text.split()[:8] == lead and got[10 * k + 2].text.split()[-6:] == rest
+
+
 def test_repeats_without_full_stops(spark, tables):
     passage = prose(8, 120, sentence=10**9)
     rows = [doc(1, prose(1, 33, sentence=10**9) + " " + passage + " " + prose(2, 50, sentence=10**9)), doc(2, prose(3, 47, sentence=10**9) + " " + passage), doc(3, "la " * 300), doc(4, "mi la " + "la " * 200)]
