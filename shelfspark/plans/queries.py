@@ -208,7 +208,7 @@ def pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pack_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Brand Widget | "), F.col("t"), F.lit(" ; blue"))
-    df = _packs(spark, sf_dir).where("ord % 12 <> 10").withColumn("p", pack.parse_pack_title(title))
+    df = _packs(spark, sf_dir).withColumn("p", pack.parse_pack_title(title))
     return df.select("ord", *(F.coalesce(F.col(f"p.{f}"), F.lit("")).alias(f) for f in ("case_pack", "pack_size", "pack_confidence", "pack_method")))
 
 
@@ -629,7 +629,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_pagination", "SELECT p_partkey AS ord, CAST(p_partkey AS INT) AS total_products, CAST(10 AS INT) AS per_page, CAST(ceil(p_partkey / 10) AS INT) AS total_pages FROM part WHERE p_partkey >= 10")
 def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Items 1-10 of "), F.format_number(F.col("p_partkey"), 0), F.lit(" in stock"))
-    df = base.load(spark, sf_dir, "part").where("p_partkey >= 10").select(F.col("p_partkey").alias("ord"), url.pagination(said).alias("p"))
+    df = base.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), url.pagination(said).alias("p"))
     return df.select("ord", "p.total_products", "p.per_page", "p.total_pages")
 
 

@@ -152,3 +152,14 @@ def test_items_by_run_and_targets(spark, tmp_path):
     t = runs.read_targets(spark, str(tmp_path / "t.csv"))
     assert [tuple(r) for r in t.orderBy("url").collect()] == [("A", "https://a.example", "Food", ""), ("C", "https://c.example", "Toys", "n")]
     assert runs.choose_targets(t, ["food"]).count() == 1
+
+
+def test_pack_titles_and_pagination_run_over_all_of_part(spark, tmp_path):
+    from shelfspark.plans.queries import queries
+
+    spark.createDataFrame([(k, k % 50 + 1) for k in range(1, 61)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.ord: tuple(r)[1:] for r in queries()["q_pack_title"](spark, str(tmp_path)).collect()}
+    # the title is cut at the comma of '1 GAL EA, n/CS': its first part has the size alone
+    assert sorted(got) == list(range(1, 61)) and {got[k] for k in range(10, 61, 12)} == {("", "1 GAL", "low", "title:plain_size")}
+    pages = {r.ord: tuple(r)[1:] for r in queries()["q_pagination"](spark, str(tmp_path)).collect()}
+    assert pages == {k: (k, 10, -(-k // 10)) for k in range(1, 61)}
