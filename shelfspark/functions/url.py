@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qs, urlencode, urljoin, urlparse
 
 import pandas as pd
@@ -77,6 +78,18 @@ def is_product_url(u: Column) -> Column:
     return F.when((low == "") | low.rlike(MEDIA) | holds_any(low, OTHER_PAGES), False).when(holds_any(low, PRODUCT_PAGES), True).otherwise(shallow & (F.endswith(low, F.lit(".html")) | coded))
 
 
+def looks_like_product(u: str) -> bool:
+    """`is_product_url` of one text."""
+    low = u.strip(" ").lower()
+    if not low or re.search(MEDIA, low) or any(p in low for p in OTHER_PAGES):
+        return False
+    if any(p in low for p in PRODUCT_PAGES):
+        return True
+    rest = (m[3] or "" if (m := re.search(_PARTS, low)) else "").strip("/")
+    coded = len(rest) >= 12 and "-" in rest and bool(re.search(r"[a-z][a-z0-9-]*\d[a-z0-9-]*$", rest))
+    return rest != "" and "/" not in rest and (low.endswith(".html") or coded)
+
+
 def is_listed_product_url(u: Column, base: Column) -> Column:
     """Whether a URL on the same host, other than the page's own, has a product page's part and none of another page."""
     key = F.lower(url_key(u))

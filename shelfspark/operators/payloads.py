@@ -37,16 +37,20 @@ def _fold(key: str) -> str:
     return re.sub("[-_]", "", str(key)).lower()
 
 
-def walk(value) -> Iterator[dict]:
-    """Objects with at least two product keys, outer ones first."""
+def seen(value) -> Iterator[dict | str]:
+    """Objects with at least two product keys, outer ones first, and the text values of all objects, in the order of a walk."""
     if isinstance(value, dict):
         if len({_fold(k) for k in value} & PRODUCT_KEYS) >= 2:
             yield value
         for x in value.values():
-            yield from walk(x)
+            if isinstance(x, str):
+                yield x
+            else:
+                yield from seen(x)
     elif isinstance(value, list):
         for x in value:
-            yield from walk(x)
+            if not isinstance(x, str):
+                yield from seen(x)
 
 
 def look_up(obj: dict, names: list[str]) -> str:
@@ -69,28 +73,56 @@ def _emit(batches: Iterator[pa.RecordBatch], rows_of) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def _absolute(base: str, href: str) -> str:
+    try:
+        return urljoin(base, href) if href else ""
+    except ValueError:  # no URL, such as an open bracket in a host
+        return ""
+
+
+def product_of(obj: dict, base: str) -> dict | None:
+    """The fields of an object that has a name and one of product URL, item number, code, price and image; else None."""
+    r = {f: look_up(obj, names) for f, names in SPELLINGS.items()}
+    r |= {c: _absolute(base, r[c]) for c in ("image_url", "product_url")}
+    r["product_url"] = r["product_url"] if url.looks_like_product(r["product_url"]) else ""
+    r["price"] = f"${r['price']}" if re.fullmatch(r"\d+(\.\d{1,2})?", r["price"]) else r["price"]
+    return r if r["product_name"] and any(r[c] for c in ("product_url", "sku", "upc", "price", "image_url")) else None
+
+
+def _walk(base: str, body: str) -> Iterator[dict | str]:
+    """Products and absolute product URLs of a payload, until it gave LIMIT products."""
+    try:
+        value = json.loads(body)
+    except ValueError:
+        return
+    n = 0
+    for x in seen(value):
+        if isinstance(x, str):
+            link = _absolute(base, x)
+            if url.looks_like_product(link):
+                yield link
+        elif r := product_of(x, base):
+            yield r
+            n += 1
+            if n == LIMIT:
+                return
+
+
 def walk_payloads(payloads: DataFrame) -> DataFrame:
-    """Product rows (page_id, url, body: JSON text) of everything in a payload that looks like a product; LIMIT a payload."""
+    """Product rows (page_id, url, body: JSON text) of everything in a payload that is a product; LIMIT products a payload."""
+    rows_of = lambda base, body: [x for x in _walk(base, body) if isinstance(x, dict)]
+    return ids.normalize_products(payloads.select("page_id", "url", "body").mapInArrow(lambda b: _emit(b, rows_of), _ROWS))
+
+
+def payload_links(payloads: DataFrame) -> DataFrame:
+    """Link rows (page_id, ord, product_url) of the product URLs in a payload, of its products and of any text value, each once a page."""
 
     def rows_of(base: str, body: str) -> list[dict]:
-        try:
-            value = json.loads(body)
-        except ValueError:
-            return []
-        found = []
-        for obj in walk(value):
-            r = {f: look_up(obj, names) for f, names in SPELLINGS.items()}
-            r |= {c: urljoin(base, r[c]) if r[c] else "" for c in ("image_url", "product_url")}
-            r["price"] = f"${r['price']}" if re.fullmatch(r"\d+(\.\d{1,2})?", r["price"]) else r["price"]
-            found.append(r)
-            if len(found) == LIMIT:
-                break
-        return found
+        found = (x if isinstance(x, str) else x["product_url"] for x in _walk(base, body))
+        return [{"product_url": x} for x in dict.fromkeys(found) if x]
 
-    rows = payloads.select("page_id", "url", "body").mapInArrow(lambda b: _emit(b, rows_of), _ROWS)
-    rows = rows.withColumn("product_url", F.when(url.is_product_url(F.col("product_url")), F.col("product_url")).otherwise(""))
-    told = (F.col("product_name") != "") & (F.concat("product_url", "sku", "upc", "price", "image_url") != "")
-    return ids.normalize_products(rows.where(told))
+    rows = payloads.select("page_id", "url", "body").mapInArrow(lambda b: _emit(b, rows_of), _ROWS).select("page_id", "ord", "product_url")
+    return first_of_each(rows.withColumn("at", F.struct("page_id", "ord")), F.concat_ws(" ", "page_id", "product_url"), "at").drop("at")
 
 
 _CARD = r"(?m)^\s*\d+\.\s+\[!\[([^\]]*)\]\(([^)]+)\)\]\(([^)]+)\)"

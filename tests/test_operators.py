@@ -163,3 +163,21 @@ def test_pack_titles_and_pagination_run_over_all_of_part(spark, tmp_path):
     assert sorted(got) == list(range(1, 61)) and {got[k] for k in range(10, 61, 12)} == {("", "1 GAL", "low", "title:plain_size")}
     pages = {r.ord: tuple(r)[1:] for r in queries()["q_pagination"](spark, str(tmp_path)).collect()}
     assert pages == {k: (k, 10, -(-k // 10)) for k in range(1, 61)}
+
+
+def test_payloads_count_products_only_and_give_their_links(spark):
+    import json
+
+    from shelfspark.functions import url
+    from shelfspark.operators import payloads
+
+    media = [{"id": f"m{k}", "url": f"/i/{k}.jpg"} for k in range(payloads.LIMIT + 5)]
+    many = [{"name": f"N{k}", "sku": f"s{k}"} for k in range(payloads.LIMIT + 5)]
+    body = {"media": media, "items": [{"name": "Tea", "url": "/product/tea"}, {"next": "/p/cup", "bad": "http://[", "about": "/about"}], "urls": ["/p/in-a-list"]}
+    df = spark.createDataFrame([(1, "https://b.example", json.dumps(body)), (2, "https://b.example", json.dumps(many))], "page_id long, url string, body string")
+    got = payloads.walk_payloads(df).select("page_id", "product_name").collect()
+    assert [r.product_name for r in got if r.page_id == 1] == ["Tea"] and {r.product_name for r in got if r.page_id == 2} == {f"N{k}" for k in range(payloads.LIMIT)}
+    assert {(r.page_id, r.product_url) for r in payloads.payload_links(df).collect()} == {(1, "https://b.example/product/tea"), (1, "https://b.example/p/cup")}
+    urls = ["", " ", "https://a.b/p/x", "https://a.b/x.html", "https://a.b/x/y.html", "https://a.b/blue-towel-item77?x=1", "https://a.b/short-1", "https://a.b/p/i.PNG", "/cart/p/1", "nothing"]
+    cols = spark.createDataFrame([(u,) for u in urls], "u string").select("u", url.is_product_url(F.col("u")).alias("ok")).collect()
+    assert all(r.ok == url.looks_like_product(r.u) for r in cols)
