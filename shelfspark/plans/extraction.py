@@ -258,3 +258,52 @@ def best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_cards", expect([(4, "Tea Box", "$4.00", "https://d.example/t.jpg", "https://d.example/product/tea-box"), (4, "Cup", "$1.00", "", "https://d.example/product/cup")], ["page_id", "product_name", "price", "image_url", "product_url"]))
 def card_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail_ops.cards(*_details(spark)).where("looks_like_product").select("page_id", "product_name", "price", "image_url", "product_url")
+
+
+# The same operators over whole tables, without SQL: `pages` as it stands, feeds, payloads, texts and titles from all of `part`.
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = load(spark, sf_dir, "pages")
+    return p, dom.nodes(p)
+
+
+def _select(spark: SparkSession, rows: DataFrame, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT {columns} FROM {{rows}}", rows=rows)
+
+
+def _classified(p: DataFrame, n: DataFrame) -> DataFrame:
+    return page_ops.classify(page_ops.features(p, n, structured.jsonld(p, n)))
+
+
+_OVER_PAGES = {
+    "q_all_jsonld": lambda p, n: structured.jsonld(p, n).select(_S),
+    "q_all_microdata": lambda p, n: structured.microdata(p, n).select(_S),
+    "q_all_opengraph": lambda p, n: structured.open_graph(p, n).select(_S),
+    "q_all_structured_tiers": lambda p, n: structured.structured(p, n).select(_S),
+    "q_all_table_rows": lambda p, n: page_ops.table_rows(n).select("page_id", "sku", "product_name", "qty", "price", "case_pack"),
+    "q_all_page_classes": _classified,
+    "q_all_needs_browser": lambda p, n: page_ops.needs_browser(page_ops.features(p, n)),
+    "q_all_page_numbers": lambda p, n: dom.highest_page_button(n).join(dom.next_links(n), "page_id", "full").select("page_id", "highest", "next_href", "tier"),
+    "q_all_detail_identifiers": lambda p, n: detail_ops.identifiers(p, n).select("page_id", "upc", "evidence"),
+    "q_all_detail_rows": lambda p, n: detail_ops.detail_rows(p, n).select("page_id", "product_name", "sku", "upc", "price", "case_pack", "image_url"),
+    "q_all_rich_detail": lambda p, n: detail_ops.rich_detail(n).select("page_id", "score"),
+    "q_all_scored_links": lambda p, n: detail_ops.scored_links(p, n).select("page_id", "href", "score"),
+    "q_all_best_links": lambda p, n: detail_ops.best_links(detail_ops.scored_links(p, n)),
+    "q_all_cards": lambda p, n: detail_ops.cards(p, n).where("looks_like_product").select("page_id", "product_name", "price", "image_url", "product_url"),
+    "q_all_product_urls": lambda p, n: dom.links(n).select("page_id", "href").join(p.select("page_id", "url"), "page_id").select("page_id", url.absolute_url("href", "url").alias("url")).select("page_id", "url", url.is_product_url(F.col("url")).alias("is_product")),
+}
+_SITE = "'https://s.example'"
+_OBJECT = "p_partkey AS id, p_name AS name, p_name AS title, p_brand AS vendor, p_brand AS brand, concat('SKU-', p_partkey) AS sku, concat('/product/', p_partkey) AS url"
+_FROM_PART = {
+    "q_all_feed_variants": (f"p_partkey AS ord, {_SITE} AS root, to_json(struct(p_partkey AS id, p_name AS title, p_brand AS vendor, concat('h', p_partkey) AS handle, array(struct(p_partkey AS id, concat('SKU-', p_partkey) AS sku, cast(p_size AS string) AS price, true AS available), struct(-p_partkey AS id, '' AS sku, '' AS price, false AS available)) AS variants)) AS body", lambda d: feeds.variant_rows(d).select(_FA)),
+    "q_all_feed_attributes": (f"p_partkey AS ord, {_SITE} AS root, to_json(struct(p_partkey AS id, p_name AS name, concat('s', p_partkey) AS slug, concat('SKU-', p_partkey) AS sku, array(struct('Brand' AS name, array(struct(p_brand AS name)) AS terms)) AS attributes)) AS body", lambda d: feeds.attribute_rows(d).select(_FB)),
+    "q_all_payload_walk": (f"p_partkey AS page_id, {_SITE} AS url, to_json(struct(array(struct({_OBJECT})) AS products, array(struct(p_size AS id, '/i/x.jpg' AS url)) AS media)) AS body", lambda d: payloads.walk_payloads(d).select(_S)),
+    "q_all_markdown_cards": (f"p_partkey AS page_id, {_SITE} AS url, concat('1. [![', p_name, '](/i/', p_size, '.jpg)](/item-', p_partkey, ')\\n$', p_size, '.50\\n') AS body", lambda d: payloads.markdown_cards(d).select(_MD)),
+    "q_all_link_rows": (f"p_partkey AS page_id, {_SITE} AS url, array(concat('/product/', p_partkey), concat('/product/', p_partkey, '#top'), '/about') AS links", lambda d: payloads.link_rows(d).select("page_id", "product_name", "product_url")),
+    "q_all_model_rows": (f"p_partkey AS page_id, {_SITE} AS url, to_json(struct(array(struct({_OBJECT})) AS products)) AS body", lambda d: payloads.model_rows(d).select(_S)),
+    "q_all_strengthen": ("p_partkey AS ord, concat(p_name, ' ', p_size, ' ct') AS title", lambda d: d.select("ord", text.title_brand(F.col("title")).alias("brand"), text.case_count(F.col("title")).alias("case_count"), text.clean_title(F.col("title")).alias("clean"))),
+    "q_all_category_names": ("p_partkey AS ord, p_type AS name", lambda d: d.select("ord", text.is_category_name(F.col("name")).alias("is_category"))),
+}
+for _name, _plan in _OVER_PAGES.items():
+    query(_name)(lambda spark, sf_dir, plan=_plan: plan(*_whole(spark, sf_dir)))
+for _name, (_columns, _plan) in _FROM_PART.items():
+    query(_name)(lambda spark, sf_dir, columns=_columns, plan=_plan: plan(_select(spark, load(spark, sf_dir, "part"), columns)))

@@ -181,3 +181,21 @@ def test_payloads_count_products_only_and_give_their_links(spark):
     urls = ["", " ", "https://a.b/p/x", "https://a.b/x.html", "https://a.b/x/y.html", "https://a.b/blue-towel-item77?x=1", "https://a.b/short-1", "https://a.b/p/i.PNG", "/cart/p/1", "nothing"]
     cols = spark.createDataFrame([(u,) for u in urls], "u string").select("u", url.is_product_url(F.col("u")).alias("ok")).collect()
     assert all(r.ok == url.looks_like_product(r.u) for r in cols)
+
+
+def test_extraction_over_whole_tables(spark, tmp_path):
+    from shelfspark.plans import extraction
+    from shelfspark.plans.queries import queries
+
+    pages = [(r[0], *r[1:]) for r in extraction.PAGES] + [(10 + r[0], *r[1:]) for r in extraction.DETAILS]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    part = [(k, f"blue towel {k}", f"Brand#{k % 5}", "PROMO TIN", k) for k in range(1, 41)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: queries()[name](spark, str(tmp_path)).collect()
+    # the inline rows stand in the table: what they gave there, they give here
+    for name in ("structured_tiers", "page_classes"):
+        assert {tuple(r) for r in run(f"q_{name}")} <= {tuple(r) for r in run(f"q_all_{name}")}, name
+    assert {r.page_id for r in run("q_all_page_classes")} == {r[0] for r in pages}
+    assert {(r.page_id, r.product_url) for r in run("q_all_cards")} >= {(14, "https://d.example/product/tea-box"), (14, "https://d.example/product/cup")}
+    for name, n in {"feed_variants": 80, "payload_walk": 40, "model_rows": 40, "link_rows": 40, "category_names": 40}.items():
+        assert len(run(f"q_all_{name}")) == n, name
