@@ -342,3 +342,14 @@ def test_pipeline_rejects_languages_that_were_not_learned(spark, tables):
         docs = table(spark, tables(documents=(given + odd, DOCS)), "documents")
         kept = {r.doc_id for r in cp.language_stage(spark, docs, "").collect()}
         assert not kept & {900, 901, 902} and kept >= set(clean) and len(kept & {r[0] for r in given}) >= 0.98 * len(given)
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark, tables):
+    import corpus_pipeline as cp
+
+    copied, own = prose(800, 120), prose(801, 120)
+    rows = [doc(1, copied), doc(2, near(copied, 3, 1)), doc(2, own), doc(2, own), doc(None, near(copied, 4, 1)), doc(None, prose(802, 120)), doc(None, near(prose(802, 120), 5, 1)), doc(3, None)]
+    got = cp.near_copies_stage(spark, table(spark, tables(documents=(rows, DOCS)), "documents"), "").collect()
+    kept = sorted(((r.doc_id, r.text) for r in got), key=repr)
+    assert [x for x in kept if x[0] is not None] == [(1, copied), (2, own), (3, None)]
+    assert len(kept) == 4 and [t for i, t in kept if i is None][0] in (rows[5][1], rows[6][1])
