@@ -134,7 +134,7 @@ def markdown_cards(payloads: DataFrame) -> DataFrame:
     A card's name is the heading that links to the same URL, else the image's text, else the URL's words.
     """
     cut = F.split(F.regexp_replace("body", _CARD, "\u0001$1\u0002$2\u0002$3\u0002"), "\u0001")
-    cards = payloads.select("page_id", "url", "body", F.posexplode(F.slice(cut, 2, 100_000)).alias("ord", "card")).withColumn("p", F.split("card", "\u0002"))
+    cards = payloads.select("page_id", "url", F.posexplode(F.slice(cut, F.lit(2), F.greatest(F.size(cut), F.lit(0)))).alias("ord", "card")).withColumn("p", F.split("card", "\u0002"))
     cards = cards.select("page_id", "url", "ord", F.trim(F.get("p", 0)).alias("alt"), F.trim(F.get("p", 1)).alias("image"), F.trim(F.get("p", 2)).alias("href"), F.coalesce(F.get("p", 3), F.lit("")).alias("rest"))
     cards = cards.select("page_id", "url", "ord", "alt", "rest", url.absolute_url("image", "url").alias("image_url"), url.absolute_url("href", "url").alias("product_url")).withColumn("key", url.url_key(F.col("product_url")))
     allowed = url.same_host(F.col("product_url"), F.col("url")) & (F.lower("key") != F.lower(url.url_key(F.col("url")))) & ~url.holds_any(F.lower("key"), url.OTHER_PAGES)

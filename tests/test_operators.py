@@ -199,3 +199,13 @@ def test_extraction_over_whole_tables(spark, tmp_path):
     assert {(r.page_id, r.product_url) for r in run("q_all_cards")} >= {(14, "https://d.example/product/tea-box"), (14, "https://d.example/product/cup")}
     for name, n in {"feed_variants": 80, "payload_walk": 40, "model_rows": 40, "link_rows": 40, "category_names": 40}.items():
         assert len(run(f"q_all_{name}")) == n, name
+
+
+def test_markdown_has_no_cap_on_cards(spark):
+    from shelfspark.operators import payloads
+
+    body = "".join(f"{k}. [![Card](/i.jpg)](/item-{k})\n" for k in range(7))
+    df = spark.createDataFrame([(1, "https://m.example/", body), (2, "https://m.example/", None), (3, "https://m.example/", "none")], "page_id long, url string, body string")
+    cards = payloads.markdown_cards(df)
+    # a text of more cards than the former cap takes minutes here: the plan must hold no cap
+    assert "100000" not in cards._jdf.queryExecution().analyzed().toString() and cards.count() == 7
