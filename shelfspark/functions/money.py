@@ -62,3 +62,11 @@ def is_page_wide_price(raw: Column, unit_price: Column, pricing_unit: Column) ->
     number = lambda c: F.regexp_replace(c, r"\$", "").try_cast("double")
     broad = F.upper(pricing_unit).isin("EACH", "EA", "UNIT") & (value != unit_price) & (number(unit_price) > 0) & (number(value) >= number(unit_price) * 5)
     return F.coalesce((value != "") & (((value == "$1500.00") & (unit_price != "")) | broad), F.lit(False))
+
+
+def site_price(text: Column) -> Column:
+    """price, unit_price and pricing_unit of a page's text: an amount with its unit after a slash, else the first amount alone."""
+    united = r"(?i)(\$\d[\d,]*\.\d{2})\s*/\s*(Each|EA|Case|CS)"
+    t = F.coalesce(text, F.lit(""))
+    with_unit, bare = F.regexp_extract(t, united, 1), F.regexp_extract(t, r"(\$\d[\d,]*\.\d{2})", 1)
+    return F.struct(F.when(with_unit != "", with_unit).otherwise(bare).alias("price"), with_unit.alias("unit_price"), F.upper(F.regexp_extract(t, united, 2)).alias("pricing_unit"))

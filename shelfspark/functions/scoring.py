@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import tokens, word_key
+from .text import word_key
 
 GREEN, YELLOW = 78, 58
 _SIZE = r"(?i)(\d+(?:\.\d+)?)\s*(fl oz|oz|lbs|lb|kg|g|ml|l|ct|gal|qt|pt)\b"
@@ -41,7 +41,7 @@ def brand_score(p: Column, c: Column) -> Column:
 
 
 def size_score(p: Column, c: Column) -> Column:
-    return F.when(p == "", 0).when(c == "", -8).when(word_key(p) == word_key(c), 22).otherwise(-18)
+    return F.when(p == "", 0).when(c == "", -8).when(p == c, 22).otherwise(-18)
 
 
 def case_score(p: Column, c: Column) -> Column:
@@ -54,32 +54,49 @@ def title_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def title_score(p: Column, c: Column, ratio: Column) -> Column:
-    shared = F.size(F.array_intersect(tokens(p), tokens(c)))
-    more = F.when(shared >= 4, 8).when(shared >= 2, 4).otherwise(0)
-    return F.when((p == "") | (c == ""), 0).otherwise(F.bround(ratio * 38).cast("int") + more - F.when((ratio < 0.45) & (shared < 2), 20).otherwise(0))
+def _words(key: Column) -> Column:
+    """The distinct words of at least two characters of a word key."""
+    return F.array_distinct(F.filter(F.split(key, " "), lambda x: F.length(x) >= 2))
 
 
-def candidate_score(product: dict[str, Column], candidate: dict[str, Column], fuzzy: bool = True) -> Column:
-    """0 to 100. Keys: product_name, brand, sku, unit_size, pack_size, case_pack; title, brand, pack_size, case_pack.
+def product_features(p: dict[str, Column]) -> Column:
+    """What a product (product_name, brand, sku, unit_size, pack_size, case_pack) is scored by; once a product, before candidates meet it."""
+    get = lambda k: _text(p[k]) if k in p else F.lit("")
+    name = word_key(get("product_name"))
+    return F.struct(
+        name.alias("name"), _words(name).alias("words"), word_key(get("brand")).alias("brand"), word_key(size_signal(either(get("unit_size"), get("pack_size"), get("product_name")))).alias("size"),
+        either(F.trim(get("case_pack")), case_signal(get("product_name"))).alias("case"), word_key(get("sku")).alias("sku"),
+    )
+
+
+def candidate_features(c: dict[str, Column]) -> Column:
+    """The same of a candidate (title, brand, pack_size, case_pack)."""
+    get = lambda k: _text(c[k]) if k in c else F.lit("")
+    title, pack = word_key(get("title")), either(get("pack_size"), get("title"))
+    return F.struct(title.alias("name"), _words(title).alias("words"), word_key(get("brand")).alias("brand"), word_key(size_signal(pack)).alias("size"), either(F.trim(get("case_pack")), case_signal(pack)).alias("case"))
+
+
+def feature_score(p: Column, c: Column, fuzzy: bool = True) -> Column:
+    """0 to 100 for a product's and a candidate's features.
 
     Without `fuzzy` the title counts by shared words only, and all of it stays in the JVM.
     """
-    get = lambda d, k: _text(d[k]) if k in d else F.lit("")
-    name, title, p_brand, c_brand = (word_key(x) for x in (get(product, "product_name"), get(candidate, "title"), get(product, "brand"), get(candidate, "brand")))
-    p_size = size_signal(either(get(product, "unit_size"), get(product, "pack_size"), get(product, "product_name")))
-    c_size = size_signal(either(get(candidate, "pack_size"), get(candidate, "title")))
-    p_case = either(F.trim(get(product, "case_pack")), case_signal(get(product, "product_name")))
-    c_case = either(F.trim(get(candidate, "case_pack")), case_signal(either(get(candidate, "pack_size"), get(candidate, "title"))))
-    sku = word_key(get(product, "sku"))
-    b = brand_score(p_brand, c_brand)
-    shared = F.size(F.array_intersect(tokens(name), tokens(title)))
-    ratio = title_ratio(name, title) if fuzzy else F.lit(0.5)
-    total = b + title_score(name, title, ratio) + size_score(p_size, c_size) + case_score(p_case, c_case) + F.when((sku != "") & F.contains(title, sku), 8).otherwise(0)
-    total = total - F.when(b == -25, 10).otherwise(0) - F.when((name != "") & (title != "") & (shared == 0), 20).otherwise(0)
+    ratio = title_ratio(p["name"], c["name"]) if fuzzy else F.lit(0.5)
+    shared = F.size(F.array_intersect(p["words"], c["words"]))
+    more = F.when(shared >= 4, 8).when(shared >= 2, 4).otherwise(0)
+    both = (p["name"] != "") & (c["name"] != "")
+    title = F.when(both, F.bround(ratio * 38).cast("int") + more - F.when((ratio < 0.45) & (shared < 2), 20).otherwise(0)).otherwise(0)
+    b = brand_score(p["brand"], c["brand"])
+    total = b + title + size_score(p["size"], c["size"]) + case_score(p["case"], c["case"]) + F.when((p["sku"] != "") & F.contains(c["name"], p["sku"]), 8).otherwise(0)
+    total = total - F.when(b == -25, 10).otherwise(0) - F.when(both & (shared == 0), 20).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(100), total))
 
 
+def candidate_score(product: dict[str, Column], candidate: dict[str, Column], fuzzy: bool = True) -> Column:
+    """`feature_score` of one row that holds both."""
+    return feature_score(product_features(product), candidate_features(candidate), fuzzy)
+
+
 def confidence(score: Column) -> Column:
     """high from 78, medium from 58, else ''."""
     return F.when(score >= GREEN, "high").when(score >= YELLOW, "medium").otherwise("")
@@ -125,15 +142,23 @@ def row_group(p: dict[str, Column]) -> Column:
     )
 
 
-def detail_score(listing: dict[str, Column], detail: dict[str, Column]) -> Column:
-    """How well a detail row fits a listing row: item number 80, URL 60, shared words up to 30, an identifier 10."""
-    from .ids import same_sku
+def detail_features(row: dict[str, Column]) -> Column:
+    """What a row tells about which product it is: folded item number, bare URL, words, whether it has an identifier."""
     from .text import match_tokens
 
-    bare = lambda c: F.regexp_replace(_text(c), "/+$", "")
-    urls = (_text(listing["product_url"]) != "") & (_text(detail["product_url"]) != "") & (bare(listing["product_url"]) == bare(detail["product_url"]))
-    shared = F.size(F.array_intersect(match_tokens(listing["product_name"]), match_tokens(detail["product_name"])))
-    return F.when(same_sku(listing["sku"], detail["sku"]), 80).otherwise(0) + F.when(urls, 60).otherwise(0) + F.least(F.lit(30), shared * 5) + F.when(either(detail["upc"], detail["ean"], detail["gtin"]) != "", 10).otherwise(0)
+    return F.struct(
+        F.lower(F.regexp_replace(_text(row["sku"]), "(?i)[^a-z0-9]", "")).alias("sku"), F.regexp_replace(_text(row["product_url"]), "/+$", "").alias("url"),
+        match_tokens(_text(row["product_name"])).alias("words"), (either(row["upc"], row["ean"], row["gtin"]) != "").alias("coded"),
+    )
+
+
+def detail_match(listing: Column, detail: Column) -> Column:
+    """How well a detail row fits a listing row: item number 80, URL 60, shared words up to 30, an identifier 10."""
+    a, b = listing["sku"], detail["sku"]
+    same = (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    urls = (listing["url"] != "") & (listing["url"] == detail["url"])
+    shared = F.size(F.array_intersect(listing["words"], detail["words"]))
+    return F.when(same, 80).otherwise(0) + F.when(urls, 60).otherwise(0) + F.least(F.lit(30), shared * 5) + F.when(detail["coded"], 10).otherwise(0)
 
 
 # Words of error texts, in the order that they are looked for.
@@ -204,3 +229,81 @@ def catalog_link_score(text: Column, href: Column) -> Column:
         total = total + F.when(F.contains(both, F.lit(w)), 2).otherwise(0)
     total = total + F.when(both.rlike(r"/(c|cat|category|categories|collections|shop|products?)(/|$)"), 5).otherwise(0) + F.when(F.contains(both, F.lit("all products")) | F.contains(both, F.lit("shop all")), 6).otherwise(0)
     return F.when(holds_any(both, OTHER_WORDS), -10).otherwise(total - F.when(path(href).isin("", "/"), 3).otherwise(0))
+
+
+# --- retail search results ----------------------------------------------------------------------------------------
+# Words that make a search result less likely to be the product.
+RESULT_NOISE = [(-10, ["pack of 3", "pack of 6", "bundle", "variety pack"]), (-8, ["sold and shipped by", "marketplace seller", "+$", "shipping"]), (-25, ["/browse/", "/c/kp/"])]
+RETAIL_ACCEPT = GREEN
+
+
+def result_noise(title: Column, description: Column, url: Column) -> Column:
+    """Points off a search result for bundles, marketplace offers and pages of several products."""
+    from .url import holds_any
+
+    said = F.lower(F.concat_ws(" ", *(_text(c) for c in (title, description, url))))
+    return sum((F.when(holds_any(said, words), n).otherwise(0) for n, words in RESULT_NOISE), F.lit(0))
+
+
+def search_candidate(title: Column, description: Column, url: Column, site: Column) -> Column:
+    """A search result as a candidate: marks cut from the title, the size from title and description."""
+    size = r"(?i)(\d+(?:\.\d+)?)\s*(oz|fl oz|lb|g|ct)"
+    both = F.concat_ws(" ", _text(title), _text(description))
+    return F.struct(
+        F.regexp_replace(_text(title), "<<<.*?>>>", " ").alias("title"), F.lit("").alias("brand"), F.when(both.rlike(size), F.concat_ws(" ", F.regexp_extract(both, size, 1), F.upper(F.regexp_extract(both, size, 2)))).otherwise("").alias("pack_size"),
+        _text(url).alias("source_url"), _text(site).alias("source_site"), _text(description).alias("description"),
+    )
+
+
+# Titles of error pages.
+ERROR_TITLES = ["oops.", "404", "page not found", "not found", "access denied"]
+
+
+def valid_detail(detail: dict[str, Column]) -> Column:
+    """is_valid and reason of a detail row: an error page's title, a logo without product fields or no field at all is none."""
+    name, sku, price, upc = (F.trim(_text(detail[c])) for c in ("product_name", "sku", "price", "upc"))
+    bare = (sku == "") & (price == "") & (upc == "")
+    reason = (
+        F.when(F.lower(name).isin(ERROR_TITLES), F.concat(F.lit("error title: "), name)).when(F.contains(F.lower(_text(detail["image_url"])), F.lit("logo")) & bare, "site-level title without product fields")
+        .when((name == "") & bare, "no trusted product fields").otherwise("ok")
+    )
+    return F.struct((reason == "ok").alias("is_valid"), reason.alias("reason"))
+
+
+def wants_supplement(rows: Column, expected: Column, mode: str = "auto") -> Column:
+    """Whether a run's rows want those of another extractor: always, never, or with fewer than five or half of those expected."""
+    if mode in ("0", "off", "disabled", "none", "never"):
+        return F.lit(False)
+    if mode in ("supplement", "always"):
+        return F.lit(True)
+    return (rows < 5) | F.coalesce((expected > 0) & (rows < expected * 0.5), F.lit(False))
+
+
+def wants_model(has_markdown: Column, useful_rows: Column, mode: str = "auto") -> Column:
+    """Whether a hosted page wants a model's reading: there is markdown and fewer than three useful rows were found."""
+    if mode in ("0", "off", "disabled", "none", "never"):
+        return F.lit(False)
+    return has_markdown & (F.lit(mode in ("1", "true", "yes", "on", "always")) | (useful_rows < 3))
+
+
+def is_useful(row: dict[str, Column]) -> Column:
+    return (_text(row["product_name"]) != "") & ((_text(row["product_url"]) != "") | (_text(row["sku"]) != "") | (_text(row["price"]) != ""))
+
+
+def confidence_rank(c: Column) -> Column:
+    return F.when(c == "high", 3).when(c == "medium", 2).when(c == "low", 1).otherwise(0)
+
+
+# Names of rows that sum up a search.
+SUMMARY_NAMES = [r"(?i)^\d[\d,]*\s+results?\s+for\b", r"(?i)^\d[\d,]*\s+items?\s+for\b", r"(?i)^\d[\d,]*\s+products?\s+for\b", r"(?i)^showing\s+\d[\d,]*\s*(?:-|to|\u2013)\s*\d[\d,]*\s+of\s+\d[\d,]*"]
+
+
+def is_summary_row(row: dict[str, Column]) -> Column:
+    """Whether a row sums up a search or category: by its name without item number and code, or a counting name with a URL of no product."""
+    from .url import is_product_url
+
+    name, link = F.lower(F.trim(_text(row["product_name"]))), F.lower(F.trim(_text(row["product_url"])))
+    coded = (F.trim(_text(row["sku"])) != "") | (F.trim(_text(row["upc"])) != "")
+    summary = name.rlike("|".join(f"(?:{p})" for p in SUMMARY_NAMES))
+    counting = (F.contains(name, F.lit(" results for ")) & ~coded) | ((link != "") & ~is_product_url(link) & name.rlike(r"\b(results?|items?|products?)\b"))
+    return F.when(name == "", False).when(summary, ~coded).otherwise(counting)

@@ -51,9 +51,13 @@ def strip_html(c: Column, entities: bool = True) -> Column:
     return clean_string(drop_tags(F.coalesce(c, F.lit(""))), entities)
 
 
+# What a listing puts before a title.
+TITLE_NOISE = [r"(?i)^last\s+purchased\s*", r"(?i)^(?:\d+[\d,]*\s*(?:case|pack|ct|count)\s*)+", r"(?i)^(?:\d+\s+sizes?\s*)+", r"(?i)^(?:\d+\s+colors?\s*)+"]
+
+
 def clean_title(c: Column) -> Column:
     """A listing title without purchase notes and leading counts."""
-    for pattern in (r"(?i)^last\s+purchased\s*", r"(?i)^(?:\d+[\d,]*\s*(?:case|pack|ct|count)\s*)+", r"(?i)^(?:\d+\s+sizes?\s*)+", r"(?i)^(?:\d+\s+colors?\s*)+"):
+    for pattern in TITLE_NOISE:
         c = F.regexp_replace(c, pattern, "")
     return strip_edges(F.regexp_replace(c, r"(?U)\s+", " "), " -|")
 
@@ -129,7 +133,7 @@ def title_brand(title: Column) -> Column:
     known = F.coalesce(*(F.nullif(F.regexp_extract(t, "(?i)" + p, 1), F.lit("")) for p in TITLE_BRANDS))
     lead = clean_spaces(F.regexp_extract(t, r"^([A-Z0-9&\-\.\' ]{3,30})\b", 1))
     lead = F.when(F.size(F.filter(F.split(lead, " "), lambda w: w != "")) <= 4, lead).otherwise("")
-    return brand_case(F.coalesce(clean_spaces(known), lead))
+    return brand_case(F.coalesce(F.nullif(clean_spaces(known), F.lit("")), lead))
 
 
 def sku_brand(sku: Column) -> Column:
@@ -181,3 +185,28 @@ def is_category_name(name: Column) -> Column:
     divided = F.greatest(*(F.contains(name, F.lit(s)) for s in CATEGORY_SEPARATORS))
     opened = F.greatest(*(low.startswith(p) for p in CATEGORY_PREFIXES))
     return F.coalesce((name != "") & (divided | opened | low.rlike(r"\d+\s*products?\b") | F.trim(name).rlike(r"\(\d+\)\s*$") | low.rlike(r"\d+\s*items?\b")), F.lit(False))
+
+
+def detail_name(c: Column, site: str = "Nassau Candy") -> Column:
+    """A detail page's title without the site's name after a bar, in single spaces."""
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)\s*\|\s*{site}\s*$", "")
+    return strip_edges(F.regexp_replace(bare, r"(?U)\s+", " "), " -|")
+
+
+def label_key(c: Column) -> Column:
+    """Lower case; colons, full stops and white space as single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[:.\s]+", " "))
+
+
+def unit_size_or_pack(unit_size: Column, pack_size: Column) -> Column:
+    """The unit size; where it is empty, a pack size that is one number and unit, in upper case."""
+    pack = F.trim(F.coalesce(pack_size, F.lit("")))
+    whole = pack.rlike(r"(?i)^\d+(?:\.\d+)?\s*(?:OZ|FL OZ|LB|G|CT|ML)$")
+    return F.when(F.trim(F.coalesce(unit_size, F.lit(""))) != "", unit_size).when(whole, F.replace(F.upper(pack), F.lit("  "), F.lit(" "))).otherwise(F.coalesce(unit_size, F.lit("")))
+
+
+def run_label(url: Column, at: Column) -> Column:
+    """A run's name: the site and the time."""
+    from .url import netloc
+
+    return F.concat(F.regexp_replace(netloc(url), r"^www\.", ""), F.lit(" \u2014 "), F.date_format(at, "HH:mm dd/MM/yyyy"))

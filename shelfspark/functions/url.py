@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import parse_qs, urlencode, urljoin, urlparse
+from urllib.parse import parse_qs, parse_qsl, urlencode, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column
@@ -144,3 +144,97 @@ def pagination(text: Column, highest_button: Column | None = None) -> Column:
         F.when(ranged, per_page).alias("per_page"),
         (F.greatest(pages, highest_button) if highest_button is not None else pages).alias("total_pages"),
     )
+
+
+# Parameters of rendered catalogs, of other listings, and those that count rows a page.
+RENDERED_PARAMS = ["page", "p", "pg", "pageNumber", "page_number", "currentPage", "current_page", "pageIndex", "page_index"]
+LISTING_PARAMS = ["page", "p", "pg", "pageNumber", "Page", "currentPage"]
+ROWS_PARAMS = {"perpage", "per_page", "pagesize", "page_size", "limit", "count"}
+MOST_RENDERED = 16
+SORTED_SITES = ["cdn.shopify.com", "Shopify.shop", "window.Shopify", "shopify-section", "/cdn/shop/"]
+
+
+def rendered_variants(url: str, target: int) -> list[str]:
+    """URLs under which page `target` of a rendered catalog may be found: page parameters, offsets, a path; the first sixteen."""
+    u = urlparse(url or "")
+    pairs = parse_qsl(u.query, keep_blank_values=True)
+    put = lambda k, v: u._replace(query=urlencode([*((a, b) for a, b in pairs if a != k), (k, str(v))])).geturl()
+    found = [put(k, target) for k in RENDERED_PARAMS]
+    for k, v in pairs:
+        if k.lower() in ROWS_PARAMS and re.fullmatch(r"\s*\+?\d+\s*", v) and int(v) > 0:
+            found += [put(k2, (target - 1) * int(v)) for k2 in OFFSET_PARAMS]
+    bare = u.path.rstrip("/")
+    numbered = re.sub(r"(?i)/page/\d+$", f"/page/{target}", bare)
+    found.append(u._replace(path=numbered if re.search(r"(?i)/page/\d+$", bare) else f"{bare}/page/{target}").geturl())
+    return [x for x in dict.fromkeys(found) if x != url][:MOST_RENDERED]
+
+
+def listing_variants(url: str, target: int) -> list[str]:
+    """URLs under which page `target` of a listing read by a model may be found."""
+    u = urlparse(url or "")
+    query = parse_qs(u.query, keep_blank_values=True)
+    found = [u._replace(query=urlencode({**query, k: [str(target)]}, doseq=True)).geturl() for k in LISTING_PARAMS]
+    paths = (re.sub(rf"(?i)(/{mark}/)\d+(/?)$", rf"\g<1>{target}\g<2>", u.path) for mark in ("page", "p"))
+    found += [u._replace(path=x).geturl() for x in paths if x != u.path]
+    return list(dict.fromkeys(found))
+
+
+def numbered_page(url: str, target: int) -> str:
+    """The URL with its page parameter, `page` without one, set to `target`."""
+    u = urlparse(url or "")
+    query = parse_qs(u.query, keep_blank_values=True)
+    k = next((k for k in PAGE_PARAMS if k in query), PAGE_PARAMS[0])
+    return u._replace(query=urlencode({**query, k: [str(target)]}, doseq=True)).geturl()
+
+
+def feed_bases(url: str) -> list[str]:
+    """Where a site's product feed may be: below the collection of the URL, then at the root."""
+    u = urlparse(url or "")
+    path = u.path.rstrip("/")
+    root = f"{u.scheme}://{u.netloc}/"
+    collection = path.split("/products/", 1)[0].rstrip("/") if "/collections/" in path else ""
+    return list(dict.fromkeys(urljoin(root, x) for x in ([f"{collection}/products.json"] if collection else []) + ["/products.json"]))
+
+
+def _listed(f):
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(url: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([f(u, int(t)) for u, t in zip(url, target, strict=True)])
+
+    return run
+
+
+rendered_page_urls, listing_page_urls = _listed(rendered_variants), _listed(listing_variants)
+
+
+@F.pandas_udf(T.StringType())
+def numbered_page_url(url: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([numbered_page(u, int(t)) for u, t in zip(url, target, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def feed_base_urls(url: pd.Series) -> pd.Series:
+    return url.map(feed_bases)
+
+
+def stable_sort(html: Column, u: Column) -> Column:
+    """A collection's URL in title order, where the page is of a system whose own order changes and no order is asked for."""
+    query = F.regexp_extract(u, _PARTS, 4)
+    unsorted = ~query.rlike(r"(^|&)sort_by=[^&]")
+    head, rest = F.regexp_extract(u, r"^([^#]*)", 1), F.regexp_extract(u, r"(#.*)?$", 0)
+    ordered = F.concat(F.regexp_replace(head, r"\?$", ""), F.when(query == "", F.lit("?")).otherwise("&"), F.lit("sort_by=title-ascending"), rest)
+    return F.when(F.contains(path(u), F.lit("/collections/")) & unsorted & holds_any(F.coalesce(html, F.lit("")), SORTED_SITES), ordered).otherwise(u)
+
+
+def ranged_pagination(text: Column) -> Column:
+    """total_products, per_page and total_pages of `a-b of N` alone."""
+    p = pagination(text)
+    ranged = p["per_page"].isNotNull()
+    return F.struct(*(F.when(ranged, p[c]).alias(c) for c in ("total_products", "per_page", "total_pages")))
+
+
+def counted_pagination(text: Column, buttons: Column) -> Column:
+    """total_products from `a-b of N`, else `N items`; total_pages as the highest of at least two page buttons (an array)."""
+    number = lambda p: F.regexp_replace(F.regexp_extract(text, p, 1), ",", "").try_cast("int")
+    total = F.coalesce(number(r"\b\d+\s*-\s*\d+\s+of\s+([\d,]+)\b"), number(r"(?i)\b([\d,]+)\s+(?:items?|products?|results?)\b"))
+    return F.struct(total.alias("total_products"), F.when(F.size(buttons) >= 2, F.array_max(buttons)).alias("total_pages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import is_blocked_page
@@ -84,6 +84,34 @@ def has_product_content(f: DataFrame) -> DataFrame:
     return f.select("page_id", (F.col("price_text") | (F.col("names") >= LEAST) | (F.col("images") >= LEAST)).alias("has_products"))
 
 
+# How a page's source says that it is one product's.
+DETAIL_SIGNALS = ['"@type": "Product"', '"@type":"Product"', 'itemtype="http://schema.org/Product"', 'itemtype="https://schema.org/Product"']
+
+
+def is_detail_page(pages: DataFrame, f: DataFrame) -> DataFrame:
+    """Whether a page is one product's: its source says so, or it has one main heading and a price and is no listing."""
+    said = pages.select("page_id", holds_any(F.coalesce("html", F.lit("")), DETAIL_SIGNALS).alias("said"))
+    alone = (F.col("h1") == 1) & (F.col("cards") < LEAST) & (F.col("catalog_rows") < LEAST) & F.col("price_class")
+    return f.join(said, "page_id").select("page_id", (F.col("said") | alone).alias("is_detail"))
+
+
+def shows_products(nodes: DataFrame) -> DataFrame:
+    """Whether a price or an item number stands in a page's visible text."""
+    visible = F.concat_ws(" ", F.array_sort(F.collect_list(F.struct("pre", "text")))["text"])  # the top elements of one page
+    top = nodes.where(F.col("parent_id").isNull() & ~F.col("tag").isin("script", "style", "noscript")).groupBy("page_id").agg(visible.alias("t"))
+    every = nodes.select("page_id").distinct().join(top, "page_id", "left")
+    found = F.col("t").rlike(r"\$\d+\.\d{2}") | F.col("t").rlike(r"(?i)\b(?:SKU|Item\s*#|Part\s*#|UPC)\s*[:\s]?\s*[A-Z0-9]{3,}")
+    return every.select("page_id", F.coalesce(found, F.lit(False)).alias("shows_products"))
+
+
+def top_patterns(nodes: DataFrame, most: int = 5, pattern: Column | None = None) -> DataFrame:
+    """(page_id, pattern, n, rank): a page's most common tag and classes, the first seen on ties."""
+    kind = pattern if pattern is not None else F.concat_ws(".", "tag", F.array_join(F.array_sort(F.array_distinct("classes")), "."))
+    counted = nodes.groupBy("page_id", kind.alias("pattern")).agg(F.count("*").alias("n"), F.min("pre").alias("first"))
+    w = Window.partitionBy("page_id").orderBy(F.desc("n"), "first")
+    return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("first")
+
+
 # Words of column headers, by meaning, in the order that meanings are tried.
 HEADERS = {
     "image": ["image", "img", "photo", "pic", "picture", "thumbnail", "thumb"],

@@ -26,6 +26,7 @@ class _Tree(HTMLParser):
         self.nodes: list[dict] = []
         self.open: list[int] = []
         self.clock = 0
+        self.pieces: list[str] = []  # the visible text, in document order
 
     def _start(self, tag: str, attrs: list) -> int:
         for wanted in (CLOSES.get(tag),):
@@ -40,13 +41,14 @@ class _Tree(HTMLParser):
         parent = self.open[-1] if self.open else None
         if parent is not None:
             self.nodes[parent]["n_children"] += 1
-        self.nodes.append({"parent": parent, "pre": self.clock, "post": 0, "depth": len(self.open), "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "own": [], "n_children": 0})
+        self.nodes.append({"parent": parent, "pre": self.clock, "post": 0, "depth": len(self.open), "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "own": [], "n_children": 0, "end": 0, "said": (len(self.pieces), 0)})
         return i
 
     def _close_to(self, k: int) -> None:
         while len(self.open) > k:
             self.clock += 1
-            self.nodes[self.open.pop()]["post"] = self.clock
+            n = self.nodes[self.open.pop()]
+            n["post"], n["end"], n["said"] = self.clock, len(self.nodes), (n["said"][0], len(self.pieces))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.open.append(self._start(tag, attrs))
@@ -64,27 +66,29 @@ class _Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open:
-            self.nodes[self.open[-1]]["own"].append(data)
+            n = self.nodes[self.open[-1]]
+            n["own"].append(data)
+            if n["tag"] not in ("script", "style") and (said := " ".join(data.split())):
+                self.pieces.append(said)
 
 
-def parse(html: str) -> list[dict]:
-    """Nodes in document order; unclosed elements end with the page."""
+def parse(html: str) -> tuple[list[dict], list[str]]:
+    """Nodes in document order and the pieces of visible text; unclosed elements end with the page.
+
+    A node's `said` is its range of pieces, `end` the number of the node after its last descendant.
+    """
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     tree._close_to(0)
-    texts: list[list[str]] = [[] for _ in tree.nodes]
-    for i in range(len(tree.nodes) - 1, -1, -1):
-        n = tree.nodes[i]
+    for i, n in enumerate(tree.nodes):
         n["id"] = i
-        own = " ".join(" ".join(n["own"]).split())
-        hidden = n["tag"] in ("script", "style")
-        n["own_text"] = "".join(n["own"]) if hidden else own
-        parts = ([] if hidden or not own else [own]) + texts[i][::-1]
-        n["text"] = " ".join(parts)
-        if n["parent"] is not None and n["text"]:
-            texts[n["parent"]].append(n["text"])
-    return tree.nodes
+        n["own_text"] = "".join(n["own"]) if n["tag"] in ("script", "style") else " ".join(" ".join(n["own"]).split())
+    return tree.nodes, tree.pieces
+
+
+#: Text of nodes that is put into one batch: an ancestor's text holds that of all below it.
+BATCH_CHARS, BATCH_NODES = 4 << 20, 4096
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -95,7 +99,15 @@ def nodes(pages: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for b in batches:
             for page, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
-                rows = [(page, n["id"], n["parent"], n["pre"], n["post"], n["depth"], n["tag"], list(n["attrs"].items()), n["attrs"].get("class", "").lower().split(), n["own_text"], n["text"], n["n_children"]) for n in parse(html)]
+                rows, held = [], 0
+                found, pieces = parse(html)
+                for n in found:
+                    text = " ".join(pieces[slice(*n["said"])])
+                    rows.append((page, n["id"], n["parent"], n["pre"], n["post"], n["depth"], n["tag"], list(n["attrs"].items()), n["attrs"].get("class", "").lower().split(), n["own_text"], text, n["n_children"]))
+                    held += len(text)
+                    if held > BATCH_CHARS or len(rows) == BATCH_NODES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -126,6 +138,23 @@ def in_chrome() -> F.Column:
     return F.col("tag").isin(CHROME_TAGS)
 
 
+FRAME_MARKS = [
+    "breadcrumb", "crumb", "sidebar", "side-bar", "navbar", "nav-bar", "nav-menu", "nav-item", "navigation", "menu-item", "menuitem", "filter", "facet",
+    "footer", "header", "banner", "announcement", "dropdown", "flyout", "mega-menu", "pagination", "pager",
+]
+FRAME_LEVELS = 10
+
+
+def in_frame(nodes_: DataFrame) -> DataFrame:
+    """The nodes with `framed`: whether one of the next ten ancestors below the body is part of the site's frame, by tag, classes or id."""
+    marks = F.concat_ws(" ", F.array_join("classes", " "), F.lower(attr("id")))
+    frame = nodes_.where((in_chrome() | marks.rlike("|".join(FRAME_MARKS))) & ~F.col("tag").isin("body", "html"))
+    outer = frame.select(F.col("page_id").alias("_p"), F.col("pre").alias("_a"), F.col("post").alias("_b"), F.col("depth").alias("_d"))
+    near = (F.col("page_id") == F.col("_p")) & (F.col("pre") > F.col("_a")) & (F.col("post") < F.col("_b")) & (F.col("depth") - F.col("_d") <= FRAME_LEVELS)
+    held = nodes_.join(outer, near, "left_semi").select("page_id", "node_id", F.lit(True).alias("_held"))
+    return nodes_.join(held, ["page_id", "node_id"], "left").withColumn("framed", F.coalesce("_held", F.lit(False))).drop("_held")
+
+
 def links(nodes_: DataFrame) -> DataFrame:
     """page_id, pre, href and text of links that lead somewhere."""
     href = F.trim(attr("href"))
