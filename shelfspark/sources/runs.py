@@ -47,6 +47,23 @@ def history(runs: DataFrame) -> DataFrame:
     return runs.drop("diagnostics").orderBy(F.desc("id"))
 
 
+def rename(runs: DataFrame, names: DataFrame) -> DataFrame:
+    """Runs with `names` (id, label) get the trimmed label; the others keep theirs."""
+    both = runs.join(names.select("id", F.trim("label").alias("_label")), "id", "left")
+    return both.withColumn("label", F.coalesce("_label", "label")).select(runs.columns)
+
+
+def lookup(runs: DataFrame, items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The runs of `wanted` (id) with their items in order, as one list each; an unknown id gives no row."""
+    listed = items.groupBy(F.col("run_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "product_name"))).alias("items"))  # a run's items are one page of an export
+    return runs.join(wanted, "id", "left_semi").join(listed, "id", "left")
+
+
+def decoded(runs: DataFrame, schema: str) -> DataFrame:
+    """Runs with their diagnostics as a struct; text that is no JSON gives null."""
+    return runs.withColumn("diagnostics", F.from_json("diagnostics", schema))
+
+
 def delete(runs: DataFrame, items: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without the runs of `ids` (id) and their items."""
     return runs.join(ids, "id", "left_anti"), items.join(ids.withColumnRenamed("id", "run_id"), "run_id", "left_anti")

@@ -61,3 +61,26 @@ def lifecycle(events: DataFrame, stale_hours: int = 6, late: str = "1 hour") ->
 
     events = events.withColumn("run_id", F.col("run_id").cast("string"))
     return events.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def new_pages(pages: DataFrame, at: str = "seen_at", late: str = "1 hour") -> DataFrame:
+    """Pages whose content their site hasn't shown within the watermark: the guard of a crawl that meets one page under two URLs."""
+    said = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
+    fingerprint = F.sha2(F.trim(F.regexp_replace(said, r"\s+", " ")), 256)
+    site = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    return pages.withColumns({"site": site, "fingerprint": fingerprint}).withWatermark(at, late).dropDuplicatesWithinWatermark(["site", "fingerprint"])
+
+
+def budgeted(rows: DataFrame, path: str, budget: int = 20, seconds: float = 45.0):
+    """A writer that marks, in each micro-batch, the rows that may be looked up: the strongest of each run, `budget` at most.
+
+    `rows` (run, ord, strength, needs_lookup). A batch's rows are appended to `path` under its number, so that a
+    repeated batch replaces itself. `seconds` is how often a batch begins.
+    """
+    from ..operators.merge import within_budget
+
+    def put(batch: DataFrame, number: int) -> None:
+        marked = within_budget(batch, F.col("strength"), F.col("needs_lookup"), budget, ["run"])
+        marked.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).trigger(processingTime=f"{seconds} seconds")
