@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import detail_score
+from ..functions.scoring import detail_features, detail_match
 from ..schema import first_present, present
 
 # Columns that a listing row and a detail row are merged on.
@@ -61,15 +61,23 @@ def links_to_enrich(pool: DataFrame, listing: DataFrame, url: str = "product_url
 
 
 def best_detail(listing: DataFrame, details: DataFrame, page: str, cap: int | None = None) -> DataFrame:
-    """Each listing row's best detail row of its page: the highest score, the first on ties; without any score the first."""
+    """Each listing row's best detail row of its page: the highest score, the first on ties; without any score the first.
+
+    What a row's fields tell is worked out once a row, before rows meet.
+    """
     fields = ["product_name", "sku", "product_url", "upc", "ean", "gtin"]
-    get = lambda d: {c: F.coalesce(F.col(f"{d}.{c}"), F.lit("")) if c in (listing if d == "l" else details).columns else F.lit("") for c in fields}
-    both = listing.alias("l").join(details.alias("d"), F.col(f"l.{page}") == F.col(f"d.{page}"))
-    scored = both.select(F.col("l.ord").alias("ord"), F.struct(detail_score(get("l"), get("d")).alias("score"), (-F.col("d.ord")).alias("first")).alias("rank"), F.col("d.ord").alias("detail_ord"))
+    side = lambda df: df.select("ord", page, detail_features({c: F.col(c) if c in df.columns else F.lit("") for c in fields}).alias("f"))
+    both = side(listing).alias("l").join(side(details).alias("d"), F.col(f"l.{page}") == F.col(f"d.{page}"))
+    scored = both.select(F.col("l.ord").alias("ord"), F.struct(detail_match(F.col("l.f"), F.col("d.f")).alias("score"), (-F.col("d.ord")).alias("first")).alias("rank"), F.col("d.ord").alias("detail_ord"))
     best = scored.groupBy("ord").agg(F.max_by("detail_ord", "rank").alias("detail_ord"), F.max("rank")["score"].alias("score"))
     return best
 
 
+def page_slice(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """The rows from `offset` on, `limit` at most, in an order."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, numbered in `rank`."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -85,13 +93,13 @@ def first_tier(rows: DataFrame, page: str, tier: str = "tier") -> DataFrame:
 def within_budget(rows: DataFrame, strength: Column, needs_lookup: Column, budget: int, groups: list[str]) -> DataFrame:
     """lookup: whether a row is looked up; the strongest of each group first, ties in order, until the budget is used.
 
-    Only rows that need a lookup consume the budget.
+    Only rows that need a lookup consume the budget, so those looked up are a group's first `budget` of them: tasks keep
+    no more than that of any group, however large, and no window runs over a whole one.
     """
-    w = Window.partitionBy(*groups).orderBy(F.desc("_s"), "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumns({"_s": strength, "_n": needs_lookup.cast("int")})
-    used = F.sum("_n").over(w)
-    status = F.when(F.col("_n") == 0, "not_needed").when(used <= budget, "looked_up").otherwise("external_lookup_skipped_budget")
-    return marked.withColumn("lookup_status", status).drop("_s", "_n")
+    marked = rows.withColumns({"_s": strength, "_n": needs_lookup})
+    first = top_k(marked.where("_n").select(*groups, "ord", "_s"), groups, [F.desc("_s"), F.asc("ord")], budget).select("ord", F.lit(True).alias("_up"))
+    status = F.when(~F.col("_n"), "not_needed").when(F.col("_up"), "looked_up").otherwise("external_lookup_skipped_budget")
+    return marked.join(first, "ord", "left").withColumn("lookup_status", status).select(*rows.columns, "lookup_status")
 
 
 def until_good_enough(scored: DataFrame, by: str, position: str, score: str, enough: int) -> DataFrame:
