@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -78,7 +77,9 @@ def ordered_union(first: DataFrame, second: DataFrame, order: str = "ord") -> Da
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shelfspark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise RuntimeError("greedy deduplication writes its rounds to the folder that spark.checkpoint.dir names")
     return f"{base.rstrip('/')}/greedy-{uuid.uuid4().hex}"
 
 

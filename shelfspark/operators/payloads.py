@@ -28,6 +28,7 @@ SPELLINGS = {
     "product_url": ["product_url", "productUrl", "url", "href", "canonicalUrl", "pdpUrl", "detailUrl"],
 }
 PRODUCT_KEYS = {"name", "title", "productname", "description", "sku", "itemnumber", "productid", "id", "price", "brand", "image", "imageurl", "url", "href", "producturl", "upc", "ean", "gtin", "barcode"}
+#: Products of a payload that one walk of the customary implementation gives; here a parameter, and all by default.
 LIMIT = 3000
 _FIELDS = list(SPELLINGS)
 _ROWS = "page_id long, ord int, " + ", ".join(f"{f} string" for f in _FIELDS)
@@ -38,19 +39,21 @@ def _fold(key: str) -> str:
 
 
 def seen(value) -> Iterator[dict | str]:
-    """Objects with at least two product keys, outer ones first, and the text values of all objects, in the order of a walk."""
-    if isinstance(value, dict):
-        if len({_fold(k) for k in value} & PRODUCT_KEYS) >= 2:
-            yield value
-        for x in value.values():
-            if isinstance(x, str):
+    """Objects with at least two product keys, outer ones first, and the text values of all objects, in the order of a walk.
+
+    The walk keeps its own stack, so that depth is bounded by memory alone.
+    """
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            yield x
+        elif isinstance(x, dict):
+            if len({_fold(k) for k in x} & PRODUCT_KEYS) >= 2:
                 yield x
-            else:
-                yield from seen(x)
-    elif isinstance(value, list):
-        for x in value:
-            if not isinstance(x, str):
-                yield from seen(x)
+            todo += reversed(list(x.values()))
+        elif isinstance(x, list):
+            todo += [y for y in reversed(x) if not isinstance(y, str)]
 
 
 def look_up(obj: dict, names: list[str]) -> str:
@@ -89,11 +92,11 @@ def product_of(obj: dict, base: str) -> dict | None:
     return r if r["product_name"] and any(r[c] for c in ("product_url", "sku", "upc", "price", "image_url")) else None
 
 
-def _walk(base: str, body: str) -> Iterator[dict | str]:
-    """Products and absolute product URLs of a payload, until it gave LIMIT products."""
+def _walk(base: str, body: str, most: int | None) -> Iterator[dict | str]:
+    """Products and absolute product URLs of a payload, until it gave `most` products (null: all)."""
     try:
         value = json.loads(body)
-    except ValueError:
+    except (ValueError, RecursionError):  # deeper than the decoder goes is no payload
         return
     n = 0
     for x in seen(value):
@@ -104,21 +107,21 @@ def _walk(base: str, body: str) -> Iterator[dict | str]:
         elif r := product_of(x, base):
             yield r
             n += 1
-            if n == LIMIT:
+            if n == most:
                 return
 
 
-def walk_payloads(payloads: DataFrame) -> DataFrame:
-    """Product rows (page_id, url, body: JSON text) of everything in a payload that is a product; LIMIT products a payload."""
-    rows_of = lambda base, body: [x for x in _walk(base, body) if isinstance(x, dict)]
+def walk_payloads(payloads: DataFrame, most: int | None = None) -> DataFrame:
+    """Product rows (page_id, url, body: JSON text) of everything in a payload that is a product; `most` products a payload (null: all)."""
+    rows_of = lambda base, body: [x for x in _walk(base, body, most) if isinstance(x, dict)]
     return ids.normalize_products(payloads.select("page_id", "url", "body").mapInArrow(lambda b: _emit(b, rows_of), _ROWS))
 
 
-def payload_links(payloads: DataFrame) -> DataFrame:
+def payload_links(payloads: DataFrame, most: int | None = None) -> DataFrame:
     """Link rows (page_id, ord, product_url) of the product URLs in a payload, of its products and of any text value, each once a page."""
 
     def rows_of(base: str, body: str) -> list[dict]:
-        found = (x if isinstance(x, str) else x["product_url"] for x in _walk(base, body))
+        found = (x if isinstance(x, str) else x["product_url"] for x in _walk(base, body, most))
         return [{"product_url": x} for x in dict.fromkeys(found) if x]
 
     rows = payloads.select("page_id", "url", "body").mapInArrow(lambda b: _emit(b, rows_of), _ROWS).select("page_id", "ord", "product_url")
@@ -170,7 +173,7 @@ def rescue_json(answer: str):
     for t in tries:
         try:
             return json.loads(t)
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     return None
 

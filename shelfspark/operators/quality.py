@@ -26,7 +26,7 @@ def price_modes(df: DataFrame, by: list[str]) -> DataFrame:
     """For each group the number of priced rows and the most common price, the first seen on ties."""
     per_price = df.where(_has("price")).groupBy(*by, "price").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     best = F.max_by(F.struct("price", "n"), F.struct(F.col("n"), (-F.col("first")).alias("f")))
-    return per_price.groupBy(*by).agg(F.sum("n").alias("priced"), best.alias("b")).select(*by, "priced", F.col("b.price").alias("mode_price"), F.col("b.n").alias("mode_count"))
+    return per_price.groupBy(*by).agg(F.sum("n").alias("priced"), best.alias("_best")).select(*by, "priced", F.col("_best.price").alias("mode_price"), F.col("_best.n").alias("mode_count"))
 
 
 def quality_report(df: DataFrame, by: list[str], expected_products: Column | None = None, expected_pages: Column | None = None, pages_visited: Column | None = None, stop_reason: Column | None = None) -> DataFrame:
@@ -41,7 +41,12 @@ def quality_report(df: DataFrame, by: list[str], expected_products: Column | Non
         n(has_identifier(df)).alias("barcode"), n(_has("product_url")).alias("product_url"), n(_has("image_url") if "image_url" in df.columns else F.lit(False)).alias("image_url"),
         n(name.rlike(NON_PRODUCT_NAMES) | url.rlike(NON_PRODUCT_URLS)).alias("non_product"),
     )
-    r = counted.join(price_modes(df, by), by, "left") if by else counted.crossJoin(price_modes(df, by))
+    # null groups have modes too; without groups both sides are one row
+    modes = price_modes(df, by).select(*(F.col(c).alias(f"_m_{c}") for c in by), "priced", "mode_price", "mode_count")
+    same = F.lit(True)
+    for c in by:
+        same = same & counted[c].eqNullSafe(modes[f"_m_{c}"])
+    r = counted.join(modes, same, "left").drop(*(f"_m_{c}" for c in by))
     total, share = F.col("products"), lambda c: F.col(c) / F.col("products")
     some = total > 0
     odd = (F.col("priced") >= 6) & (F.col("mode_count") / F.col("priced") > 0.80)

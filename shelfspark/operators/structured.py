@@ -7,22 +7,25 @@ from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.nodes import attr
 from .merge import first_tier
 
 FIELDS = ["product_name", "brand", "sku", "upc", "price", "image_url", "product_url"]
-ROWS = "page_id long, ord int, " + ", ".join(f"{f} string" for f in FIELDS)
+ROWS = "page_id long, ord struct<pre:int,k:int>, " + ", ".join(f"{f} string" for f in FIELDS)
 _NAMES = ["page_id", "ord", *FIELDS]
-_KINDS = [pa.int64(), pa.int32(), *[pa.string()] * len(FIELDS)]
+_KINDS = [pa.int64(), pa.struct([("pre", pa.int32()), ("k", pa.int32())]), *[pa.string()] * len(FIELDS)]
 # Where an identifier may stand in a JSON-LD product, first to last.
+FLAT_IDS = ["gtin12", "gtin13", "gtin"]
 JSONLD_IDS = ["gtin12", "gtin13", "gtin8", "gtin", "gtin14", "productID"]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    columns[1] = [{"pre": pre, "k": k} for pre, k in columns[1]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
 def _one(x):
@@ -34,21 +37,21 @@ def _str(x) -> str:
     return "" if x is None or isinstance(x, (dict, list)) else str(x)
 
 
-def jsonld_products(value) -> Iterator[dict]:
+def jsonld_products(value, nested: bool = True) -> Iterator[dict]:
     """Product objects of a JSON-LD value: itself, list elements, wrapped items, a graph's members."""
     if isinstance(value, list):
         for x in value:
-            yield from jsonld_products(x)
+            yield from jsonld_products(x, nested)
     elif isinstance(value, dict):
         kinds = value.get("@type", "")
         if "Product" in (kinds if isinstance(kinds, list) else [kinds]):
             yield value
         else:
-            for key in ("itemListElement", "item", "@graph"):
-                yield from jsonld_products(value.get(key))
+            for key in ("itemListElement", "item", "@graph") if nested else ("@graph",):
+                yield from jsonld_products(value.get(key), nested)
 
 
-def jsonld_row(item: dict, base: str) -> list[str] | None:
+def jsonld_row(item: dict, base: str, ids: list[str] = JSONLD_IDS) -> list[str] | None:
     """The fields of a product object; None without a name."""
     name = _str(item.get("name")).strip()
     if not name:
@@ -59,13 +62,17 @@ def jsonld_row(item: dict, base: str) -> list[str] | None:
     price, currency = _str(offer.get("price")), _str(offer.get("priceCurrency") or "USD")
     link = _str(item.get("url")) or _str(offer.get("url"))
     return [
-        name, _str(brand.get("name") if isinstance(brand, dict) else brand), _str(item.get("sku")) or _str(item.get("mpn")), next((_str(item[k]) for k in JSONLD_IDS if item.get(k)), ""),
+        name, _str(brand.get("name") if isinstance(brand, dict) else brand), _str(item.get("sku")) or _str(item.get("mpn")), next((_str(item[k]) for k in ids if item.get(k)), ""),
         (f"${price}" if currency == "USD" else f"{price} {currency}") if price else "", urljoin(base, _str(image)) if image else "", urljoin(base, link) if link else "",
     ]
 
 
-def jsonld(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Product rows of all JSON-LD scripts; only script nodes reach Python."""
+def jsonld(pages: DataFrame, nodes: DataFrame, nested: bool = True) -> DataFrame:
+    """Product rows of all JSON-LD scripts; only script nodes reach Python.
+
+    Without `nested` lists count at the top and in a graph only, and fewer keys hold an identifier.
+    """
+    ids = JSONLD_IDS if nested else FLAT_IDS
     scripts = nodes.where((F.col("tag") == "script") & (F.lower(attr("type")) == "application/ld+json")).select("page_id", "pre", "own_text").join(pages.select("page_id", "url"), "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,14 +81,16 @@ def jsonld(pages: DataFrame, nodes: DataFrame) -> DataFrame:
             for page, pre, source, url in zip(*(b.column(c).to_pylist() for c in ("page_id", "pre", "own_text", "url")), strict=True):
                 try:
                     value = json.loads(source or "")
-                except ValueError:
+                    found = [r for x in jsonld_products(value, nested) if (r := jsonld_row(x, url or "", ids))]
+                except (ValueError, RecursionError):
                     continue
-                found = [r for x in jsonld_products(value) if (r := jsonld_row(x, url or ""))]
-                rows += [(page, pre * 1000 + k, *r) for k, r in enumerate(found)]
+                rows += [(page, (pre, k), *r) for k, r in enumerate(found)]
             if rows:
                 yield _batch(rows)
 
-    return scripts.mapInArrow(run, ROWS)
+    found = scripts.mapInArrow(run, ROWS)
+    # numbers of a page's rows, by script and place: no script, however long, runs into the next
+    return found.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1)
 
 
 def _value() -> Column:
