@@ -204,7 +204,7 @@ def pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "q_pack_title",
     f"""SELECT ord, {s_pack('t', 'case_pack')} AS case_pack, {s_pack('t', 'pack_size')} AS pack_size, CASE WHEN {s_pack('t', 'pack_confidence')} = 'high' THEN 'medium' ELSE {s_pack('t', 'pack_confidence')} END AS pack_confidence,
-        CASE WHEN {s_pack('t', 'pack_method')} = '' THEN '' ELSE concat('title:', {s_pack('t', 'pack_method')}) END AS pack_method FROM {PACKS} p WHERE ord % 12 <> 10""",
+        CASE WHEN {s_pack('t', 'pack_method')} = '' THEN '' ELSE concat('title:', {s_pack('t', 'pack_method')}) END AS pack_method FROM (SELECT ord, CASE WHEN ord % 12 = 10 THEN split_part(t, ',', 1) ELSE t END AS t FROM {PACKS} p0) p""",
 )
 def pack_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Brand Widget | "), F.col("t"), F.lit(" ; blue"))
@@ -470,11 +470,11 @@ def s_fold(c: str) -> str:
     "q_best_detail",
     f"""WITH p AS (SELECT c.ord, d.ord AS dord, (CASE WHEN {s_fold('c.sku')} <> '' AND {s_fold('d.sku')} <> '' AND (contains({s_fold('c.sku')}, {s_fold('d.sku')}) OR contains({s_fold('d.sku')}, {s_fold('c.sku')})) THEN 80 ELSE 0 END
         + CASE WHEN c.product_url <> '' AND rtrim(c.product_url, '/') = rtrim(d.product_url, '/') THEN 60 ELSE 0 END + least(30, 5 * len(list_intersect({s_match_tokens('c.product_name')}, {s_match_tokens('d.product_name')}))) + CASE WHEN d.upc <> '' THEN 10 ELSE 0 END) AS score
-        FROM {C} c JOIN {DETAIL} d ON c.ord % 500 = d.ord % 500)
+        FROM {C} c JOIN {DETAIL} d ON c.ord // 40 = d.ord // 40)
     SELECT ord, dord AS detail_ord, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY score DESC, dord) AS rn FROM p) WHERE rn = 1""",
 )
 def best_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paged = lambda k: rows(spark, sf_dir, k).withColumn("page", F.col("ord") % 500)
+    paged = lambda k: rows(spark, sf_dir, k).withColumn("page", F.floor(F.col("ord") / 40))
     return merge.best_detail(paged("catalog"), paged("detail"), "page").select("ord", "detail_ord", F.col("score").cast("int").alias("score"))
 
 
@@ -498,11 +498,10 @@ _GROUP = f"""CASE WHEN length(trim(product_name)) < 8 AND NOT (trim(product_name
 _ROUTES = values([(g, p, i) for g, ps in scoring.ROUTES.items() for i, p in enumerate(ps)], ["row_group", "provider", "position"])
 
 
-@query("q_provider_route", f"SELECT ord, g AS row_group, provider, CAST(position AS INT) AS position FROM (SELECT ord, {_GROUP} AS g FROM {C} c) JOIN (SELECT * FROM {_ROUTES}) r ON r.row_group = g WHERE provider <> 'go_upc'")
+@query("q_provider_route", f"SELECT ord, g AS row_group, provider, CAST(position AS INT) AS position FROM (SELECT ord, {_GROUP} AS g FROM {C} c) JOIN (SELECT * FROM {_ROUTES}) r ON r.row_group = g")
 def provider_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes over the providers at hand (all but one)."""
     df = rows(spark, sf_dir, "catalog")
-    routes = spark.createDataFrame([(g, p, i) for g, ps in scoring.ROUTES.items() for i, p in enumerate(ps) if p != "go_upc"], "row_group string, provider string, position int")
+    routes = spark.createDataFrame([(g, p, i) for g, ps in scoring.ROUTES.items() for i, p in enumerate(ps)], "row_group string, provider string, position int")
     return df.select("ord", scoring.row_group(_columns(df)).alias("row_group")).join(F.broadcast(routes), "row_group").select("ord", "row_group", "provider", "position")  # a fixed table of some rows
 
 
@@ -516,21 +515,22 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.within_budget(df, scoring.row_strength(_columns(df)), ids.barcode(F.col("upc")) == "", 20, ["category"]).select("ord", "lookup_status")
 
 
-#: Candidates of the same brand and size for every product; titles share some words.
-CANDIDATES = {"cand": "p_partkey", "title": "concat(p_name, ' ', cast(p_size AS string), ' OZ')", "c_brand": "CASE WHEN p_partkey % 4 = 0 THEN 'Other' ELSE p_brand END", "c_pack": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(cast(p_size AS string), ' OZ') END", "c_size": "p_size", "c_key": "p_partkey % 97"}
+#: Candidates for every product, as a search for a group of 40 products gives them; titles share some words.
+CANDIDATES = {"cand": "p_partkey", "title": "concat(p_name, ' ', cast(p_size AS string), ' OZ')", "c_brand": "CASE WHEN p_partkey % 4 = 0 THEN 'Other' ELSE p_brand END", "c_pack": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat(cast(p_size AS string), ' OZ') END", "c_size": "p_size", "c_key": "cast(floor(p_partkey / 40) AS bigint)"}
 _CANDS = f"(SELECT {', '.join(f'{e} AS {c}' for c, e in CANDIDATES.items())} FROM part)"
 _PS = "CASE WHEN unit_size <> '' THEN unit_size WHEN pack_size <> '' THEN pack_size ELSE '' END"
 _SCORE = f"""(CASE WHEN {s_key('brand')} = '' THEN 0 WHEN {s_key('brand')} = {s_key('c_brand')} THEN 30 WHEN contains({s_key('brand')}, {s_key('c_brand')}) OR contains({s_key('c_brand')}, {s_key('brand')}) THEN 18 ELSE -35 END
     + 19 + CASE WHEN shared >= 4 THEN 8 WHEN shared >= 2 THEN 4 ELSE 0 END + CASE WHEN {_PS} = '' THEN 0 WHEN {_PS} = concat(CAST(c_size AS VARCHAR), ' OZ') THEN 22 ELSE -18 END + CASE WHEN case_pack = '' THEN 0 ELSE -4 END
     + CASE WHEN sku <> '' AND contains({s_key('title')}, {s_key('sku')}) THEN 8 ELSE 0 END - CASE WHEN shared = 0 THEN 20 ELSE 0 END)"""
-_SCORED = f"SELECT ord, cand, CAST(greatest(0, least(100, {_SCORE})) AS INT) AS score FROM (SELECT c.*, k.*, len(list_intersect({s_tokens('product_name')}, {s_tokens('title')})) AS shared FROM {C} c JOIN {_CANDS} k ON c.ord % 97 = k.c_key)"
+_SCORED = f"SELECT ord, cand, CAST(greatest(0, least(100, {_SCORE})) AS INT) AS score FROM (SELECT c.*, k.*, len(list_intersect({s_tokens('product_name')}, {s_tokens('title')})) AS shared FROM {C} c JOIN {_CANDS} k ON c.ord // 40 = k.c_key)"
 
 
 def _scored(spark: SparkSession, sf_dir: str, fuzzy: bool) -> DataFrame:
     cands = base.load(spark, sf_dir, "part").selectExpr(*(f"{e} AS {c}" for c, e in CANDIDATES.items()))
-    both = rows(spark, sf_dir, "catalog").withColumn("c_key", F.col("ord") % 97).join(cands, "c_key")
-    score = scoring.candidate_score(_columns(both), {"title": F.col("title"), "brand": F.col("c_brand"), "pack_size": F.col("c_pack")}, fuzzy)
-    return both.select("ord", "cand", score.cast("int").alias("score"))
+    cands = cands.select("c_key", "cand", scoring.candidate_features({"title": F.col("title"), "brand": F.col("c_brand"), "pack_size": F.col("c_pack")}).alias("c"))
+    products = rows(spark, sf_dir, "catalog")
+    products = products.select("ord", F.floor(F.col("ord") / 40).alias("c_key"), scoring.product_features(_columns(products)).alias("p"))
+    return products.join(cands, "c_key").select("ord", "cand", scoring.feature_score(F.col("p"), F.col("c"), fuzzy).cast("int").alias("score"))
 
 
 @query("q_candidate_score_nofuzzy", _SCORED)
@@ -626,7 +626,7 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), urls.alias("u")).select("ord", F.col("u")[0].alias("first_url"), F.size("u").alias("n"))
 
 
-@query("q_pagination", "SELECT p_partkey AS ord, CAST(p_partkey AS INT) AS total_products, CAST(10 AS INT) AS per_page, CAST(ceil(p_partkey / 10) AS INT) AS total_pages FROM part WHERE p_partkey >= 10")
+@query("q_pagination", "SELECT p_partkey AS ord, CAST(p_partkey AS INT) AS total_products, CAST(10 AS INT) AS per_page, CAST(ceil(p_partkey / 10) AS INT) AS total_pages FROM part WHERE p_partkey > 0 UNION ALL SELECT 0, NULL, NULL, NULL FROM part WHERE p_partkey = 0")
 def pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("Items 1-10 of "), F.format_number(F.col("p_partkey"), 0), F.lit(" in stock"))
     df = base.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), url.pagination(said).alias("p"))

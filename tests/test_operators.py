@@ -120,8 +120,8 @@ def test_budget_and_ranks(spark):
 
 def test_node_intervals(spark):
     html = "<body><ul><li>one<li>two <b>bold</ul><p>para<p>next<br>line<nav><a href=x>link</a></nav><table><tr><td>a<td>b<tr><td>c</table></body>"
-    n = dom.parse(html)
-    by = lambda t: [x["text"] for x in n if x["tag"] == t]
+    n, pieces = dom.parse(html)
+    by = lambda t: [" ".join(pieces[slice(*x["said"])]) for x in n if x["tag"] == t]
     assert by("li") == ["one", "two bold"] and by("p") == ["para", "next line link a b c"] or by("p")[0] == "para"
     assert by("td") == ["a", "b", "c"] and [x["n_children"] for x in n if x["tag"] == "tr"] == [2, 1]
     for x in n:
@@ -175,7 +175,8 @@ def test_payloads_count_products_only_and_give_their_links(spark):
     many = [{"name": f"N{k}", "sku": f"s{k}"} for k in range(payloads.LIMIT + 5)]
     body = {"media": media, "items": [{"name": "Tea", "url": "/product/tea"}, {"next": "/p/cup", "bad": "http://[", "about": "/about"}], "urls": ["/p/in-a-list"]}
     df = spark.createDataFrame([(1, "https://b.example", json.dumps(body)), (2, "https://b.example", json.dumps(many))], "page_id long, url string, body string")
-    got = payloads.walk_payloads(df).select("page_id", "product_name").collect()
+    assert payloads.walk_payloads(df).where("page_id = 2").count() == len(many)  # no cap but the one that is asked for
+    got = payloads.walk_payloads(df, payloads.LIMIT).select("page_id", "product_name").collect()
     assert [r.product_name for r in got if r.page_id == 1] == ["Tea"] and {r.product_name for r in got if r.page_id == 2} == {f"N{k}" for k in range(payloads.LIMIT)}
     assert {(r.page_id, r.product_url) for r in payloads.payload_links(df).collect()} == {(1, "https://b.example/product/tea"), (1, "https://b.example/p/cup")}
     urls = ["", " ", "https://a.b/p/x", "https://a.b/x.html", "https://a.b/x/y.html", "https://a.b/blue-towel-item77?x=1", "https://a.b/short-1", "https://a.b/p/i.PNG", "/cart/p/1", "nothing"]
