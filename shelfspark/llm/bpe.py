@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, table, tidy
 from .tokens import ENCODE_BYTES, ChunkEncoder, WordRules, by_words, tokenizer_path
 
 _NONE = np.int64(1 << 62)
@@ -194,8 +194,9 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     "decoded_sha256": [sha(bpe.decode(p.tolist()).encode("utf-8")).hexdigest() for p in parts],
                 }
             )
+        encode.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Lineage is cut by writing a table into the folder that the cluster names in
 ``spark.checkpoint.dir``; every executor and the driver see that folder.  Only
-when a session has no such setting (tests on one machine) a temporary folder is
-used instead.
+a session on one machine (tests) may go without the setting: it gets a temporary
+folder.  On a cluster a missing setting is an error.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +24,17 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a Python worker handles at once, whatever the rows of an Arrow batch hold.
-SLICE_BYTES = 4 << 20
+#: Text bytes and rows that a Python worker handles at once, whatever an Arrow batch holds.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 4096
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, a new local one is made and set."""
+    """The folder of ``spark.checkpoint.dir``; where a session on one machine has none, a new local one is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -48,7 +54,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before) if before is not None else spark.conf.unset(DROP_SHUFFLES)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that `cut` wrote, after their last reader has ended."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            fs, at = filesystem(path)
+            fs.delete_dir(at)
+            df._scratch = None
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened by underscores until no column of `df` has them, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def schema_of(df: DataFrame, names: list[str], *added: str) -> str:
+    """DDL of some of the columns of `df` and of added ones, for an Arrow function."""
+    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), *added])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +114,8 @@ def put_file(folder: str, name: str, chunks: Iterator[bytes], attempt: str) -> i
     return size
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of rows of about `limit` bytes in `column`; a longer row stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of at most `rows` rows and about `limit` bytes in `column`; a longer row stands alone."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -90,11 +124,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         ends, at = np.cumsum(sizes), 0
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that gives its memory back when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 #: Join keys that one key's rows are spread over.
 SALTS = 16
 
@@ -107,6 +161,19 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return left.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+#: Rows from which a key is hot.
+HOT = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, by: list[str]) -> DataFrame:
+    """A join of sides that both say how many rows a key has (`rows`): those of hot keys are spread over salts by a hash of
+    `by`, and only for them `right`, whose keys are distinct, comes once for each salt."""
+    hot = F.col(rows) > HOT
+    salted = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0))
+    copies = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop(rows)
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def crc32_ids(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())

@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .grams import gram_counts, joined
-from .samples import per_label, remainder
+from .common import fresh, schema_of, slices, table, tidy
+from .grams import add_grams, joined, kept_sizes
+from .samples import per_label, remainder, sample_texts
 
 #: Families of closely related languages by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
@@ -33,7 +33,12 @@ FAMILIES = {
     "malayic": "id ms",
 }
 BITS = 13
-SAMPLE, FOLDS, HELD = 250, 4, 2
+#: Learned from: doc_ids of each language, languages (the most frequent), doc_ids in all; strictly twice that. So the
+#: driver holds at most 2 * MOST_ROWS feature rows, whatever the number of languages.
+SAMPLE, MOST_LANGUAGES, MOST_ROWS = 250, 256, 2000
+FOLDS, HELD = 4, 2
+#: Texts whose features stand in memory at once: their rows are 2**BITS floats wide.
+ROWS = 256
 ROUNDS, PENALTY, SLOPE = 150, 1e-4, 4.0
 #: `least_sure` takes this quantile of held-out rows, and this share of it, so that learned languages stay.
 QUANTILE, SHARE = 0.005, 0.8
@@ -58,18 +63,18 @@ def features(texts: pa.Array) -> np.ndarray:
     keep[1:] = (plain[1:] != 32) | (plain[:-1] != 32)
     starts = ends[:-1][ends[:-1] < len(plain)]
     keep[starts] = True
-    at = np.concatenate([[0], np.cumsum(keep)])[ends]
     # a space before and after each text
-    sizes = np.diff(at) + 2
-    stops = np.concatenate([[0], np.cumsum(sizes)])
+    stops = np.concatenate([[0], np.cumsum(kept_sizes(keep, ends) + 2)])
     padded = np.full(int(stops[-1]), 32, np.uint8)
     inner = np.ones(len(padded), bool)
     inner[stops[:-1]] = inner[stops[1:] - 1] = False
     padded[inner] = plain[keep]
-    flat = [gram_counts(padded, stops, k, BITS, 1 << BITS, 0) for k in (1, 2, 3, 4)]
-    X = np.bincount(np.concatenate(flat), minlength=n << BITS).reshape(n, 1 << BITS).astype(np.float32)
+    X = np.zeros((n, 1 << BITS), np.float32)
+    for k in (1, 2, 3, 4):
+        add_grams(X, padded, stops, k, BITS, 0)
     np.log1p(X, out=X)
-    return X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-9)
+    X /= np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-9)
+    return X
 
 
 def machine(X: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -133,21 +138,24 @@ class LanguageModel:
         return np.array([float(x @ self.centres[n]) for x, n in zip(X, names, strict=True)])
 
 
+def labelled(docs: DataFrame, held: bool, sample: int) -> DataFrame:
+    """A bounded sample of documents with a language (doc_id, lang, text), of the held-out fold or of the others."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ((remainder(FOLDS) == HELD) == F.lit(held)))
+    return sample_texts(known, per_label(known.select("doc_id", "lang"), "lang", sample, MOST_LANGUAGES, MOST_ROWS), ["doc_id", "lang"])
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Learn from documents with a language outside the held-out fold; None where there are none.
 
-    Driver memory: at most 2 * `sample` feature rows of each language.
+    Driver memory: at most 2 * MOST_ROWS feature rows.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(FOLDS) != HELD))
-    chosen = per_label(known.select("doc_id", "lang"), "lang", sample).distinct()
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, rows=ROWS):
             X = features(b.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_pydict({"lang": b.column("lang"), "x": [row.tobytes() for row in X]})
 
-    rows = texts.mapInArrow(run, "lang string, x binary").collect()
+    rows = labelled(docs, False, sample).select("lang", "text").mapInArrow(tidy(run), "lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
@@ -162,25 +170,25 @@ def least_sure(docs: DataFrame, model: LanguageModel | None, sample: int = SAMPL
     """(lang_score, lang_fit) that held-out rows predicted right hardly ever fall below; zeros where there are none.
 
     A score has a floor that the number of languages sets, and one learned language scores 1 always, so no fixed
-    value tells an unlearned language. Driver memory: two numbers of at most 2 * `sample` rows of each language.
+    value tells an unlearned language. Driver memory: two numbers of at most 2 * MOST_ROWS rows.
     """
-    held = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(FOLDS) == HELD))
-    chosen = per_label(held.select("doc_id", "lang"), "lang", sample).distinct()
-    texts = held.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])  # bounded by the sample
-    right = predict_language(texts, model).where("lang_pred = lang").select("lang_score", "lang_fit").collect()
+    right = predict_language(labelled(docs, True, sample), model).where("lang_pred = lang").select("lang_score", "lang_fit").collect()
     if not right:
         return 0.0, 0.0
     score, fit = SHARE * np.quantile(np.array(right, float), QUANTILE, axis=0)
     return float(score), float(fit)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """`docs` with lang_pred, lang_score and lang_fit; `und` with zeros where a text is null or has no letter, or nothing was learned."""
+def predict_language(docs: DataFrame, model: LanguageModel | None, added: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_fit")) -> DataFrame:
+    """`docs` with the predicted language, its score and its fit; `und` with zeros where a text is null or has no letter, or nothing was learned.
+
+    `added` names the three; columns that have the names already are replaced. Memory: about 10 bytes for each of a text's.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few machines of 2**BITS weights
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in added}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, rows=ROWS):
             text = pc.fill_null(b.column("text"), "")
             letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
             if shared.value is None:
@@ -191,16 +199,26 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 fit = np.where(letters, shared.value.fit(X, langs), 0.0)
                 langs = [x if ok else UNKNOWN for x, ok in zip(langs, letters.tolist(), strict=True)]
                 score = np.where(letters, score, 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score), pa.array(fit)], [*names, "lang_pred", "lang_score", "lang_fit"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(langs, pa.string()), pa.array(score), pa.array(fit)], [*names, *added])
+
+    return docs.select(*names).mapInArrow(tidy(run), schema_of(docs, names, *(f"`{c}` {t}" for c, t in zip(added, ("string", "double", "double"), strict=True))))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, lang_fit double")
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` in a language that was learned, about as certain and as like it as held-out documents are,
+    with their own columns, whatever those are called."""
+    added = tuple(fresh(docs, "lang_pred", "lang_score", "lang_fit"))
+    model = learn(docs)
+    score, fit = least_sure(docs, model)
+    known = predict_language(docs, model, added)
+    return known.where((F.col(added[0]) != UNKNOWN) & (F.col(added[1]) >= score) & (F.col(added[2]) >= fit)).select(docs.columns)
 
 
 def op4_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text; rows of the held-out fold are never learned from.
 
-    A null doc_id is not held out; repeated rows are predicted each; an empty table gives no row.
+    A null doc_id is neither held out nor learned from; repeated rows are predicted each; a text of any length is
+    read whole; an empty table gives no row. Tied languages: the first by name. Further columns take no part.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(remainder(FOLDS) == HELD, F.lit(False)).alias("held_out")

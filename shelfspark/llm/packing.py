@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_ids, cut, slices, table
+from .common import crc32_ids, cut, slices, table, tidy
 from .tokens import ENCODE_BYTES, library_encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -159,7 +159,7 @@ def pack(spark: SparkSession, items: dict[int, int], capacity: int = CAPACITY, i
     for epoch in range(epochs):
         rows = [(i, epoch * islands + i, json.dumps(pools[i])) for i in range(islands)]
         frame = spark.createDataFrame(rows, "island long, seed long, pool string").repartition(islands, "island")
-        for r in frame.mapInArrow(run, "island long, pool string").collect():
+        for r in frame.mapInArrow(tidy(run), "island long, pool string").collect():
             pools[r.island] = [[(tuple(map(tuple, p)), m) for p, m in s] for s in json.loads(r.pool)]
         best = max((p[0] for p in pools if p), key=lambda s: fitness(s, capacity))
         if bins(best) <= target:
@@ -195,8 +195,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crcs, pa.int64()), "part": pa.array(np.full(len(row), part)), "rank": pa.array(rank)}
             )
+        encode.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long")
 
 
 def place(rows: DataFrame, solution: Solution, capacity: int) -> DataFrame:
@@ -229,7 +230,7 @@ def place(rows: DataFrame, solution: Solution, capacity: int) -> DataFrame:
             keep = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

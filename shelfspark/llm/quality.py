@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
-from .grams import gram_counts, joined, shapes, word_repeats
-from .samples import per_label, remainder
+from .common import fresh, schema_of, slices, table, tidy
+from .grams import add_grams, joined, shapes, word_repeats
+from .samples import per_label, remainder, sample_texts
 
 BYTE_BITS, SHAPE_BITS, REPEAT_BINS = 12, 10, 16
 WIDTH = (1 << BYTE_BITS) + (1 << SHAPE_BITS) + REPEAT_BINS
@@ -28,19 +28,21 @@ WEIGHTS = (0.3, 1.0, 0.7)
 #: Labelled rows of each label that are learned from, directions kept, neighbours that vote, the power of the cosine.
 SAMPLE, DIRECTIONS, NEIGHBOURS, POWER = 600, 48, 15, 4
 FOLDS, THRESHOLD = 5, 0.3
+#: Texts whose features stand in memory at once: their rows are WIDTH floats wide.
+ROWS = 256
 
 
 def features(texts: pa.Array) -> np.ndarray:
     """(texts, WIDTH) logarithmic counts."""
     data, ends = joined(texts)
     n = len(texts)
-    flat = [gram_counts(data, ends, 3, BYTE_BITS, WIDTH, 0)]
-    flat.append(gram_counts(*shapes(data, ends), 3, SHAPE_BITS, WIDTH, 1 << BYTE_BITS))
-    X = np.bincount(np.concatenate(flat), minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float32)
+    X = np.zeros((n, WIDTH), np.float32)
+    add_grams(X, data, ends, 3, BYTE_BITS, 0)
+    add_grams(X, *shapes(data, ends), 3, SHAPE_BITS, 1 << BYTE_BITS)
     words, distinct = word_repeats(texts)
     share = np.minimum(REPEAT_BINS - 1, REPEAT_BINS * distinct // np.maximum(words, 1))
     X[np.arange(n), (1 << BYTE_BITS) + (1 << SHAPE_BITS) + share] = words
-    return np.log1p(X)
+    return np.log1p(X, out=X)
 
 
 @dataclass
@@ -94,15 +96,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     A doc_id with several labels counts once, with the larger. Driver memory: at most 4 * `sample` feature rows.
     """
     known = labels.where(F.col("quality").isin(0, 1) & (remainder(FOLDS) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = per_label(known, "quality", sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    texts = sample_texts(docs, per_label(known, "quality", sample, 2, 2 * sample), ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, rows=ROWS):
             X = features(b.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_pydict({"quality": b.column("quality"), "x": [row.tobytes() for row in X]})
 
-    rows = texts.mapInArrow(run, "quality int, x binary").limit(4 * sample).collect()
+    rows = texts.select("quality", "text").mapInArrow(tidy(run), "quality int, x binary").collect()  # bounded by the sample
     if not rows:
         return None
     totals = {0: 0, 1: 0} | {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -114,26 +115,35 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     return fit(X, y, totals)
 
 
-def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with score and predicted; without a model every score is 1 and nothing is rejected."""
+def score_quality(docs: DataFrame, model: Model | None, added: str = "quality_score") -> DataFrame:
+    """`docs` with a score; without a model every score is 1 and nothing is rejected.
+
+    `added` names the score; a column that has the name already is replaced. Memory: about 10 bytes for each of a text's.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 4 * SAMPLE vectors of DIRECTIONS floats, and the directions
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != added.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, rows=ROWS):
             s = shared.value.scores(features(b.column("text"))) if shared.value else np.ones(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s)], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s)], [*names, added])
+
+    return docs.select(*names).mapInArrow(tidy(run), schema_of(docs, names, f"`{added}` double"))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, quality_score double")
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that score THRESHOLD or more, with their own columns, whatever those are called."""
+    (added,) = fresh(docs, "quality_score")
+    return score_quality(docs, learn(docs, labels), added).where(F.col(added) >= THRESHOLD).select(docs.columns)
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text; labels of the held-out fold are never seen.
 
     Null and empty texts have no similar neighbour and score the share of label 1. A null doc_id is not held out.
-    Repeated rows are scored each; an empty table gives no row.
+    Repeated rows are scored each; an empty table gives no row. Of neighbours tied at the last place any vote.
+    Further columns take no part, whatever their names.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))

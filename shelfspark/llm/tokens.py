@@ -48,14 +48,14 @@ class WordRules:
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        norm, pre = self.spec["normalizer"] or {}, self.spec["pre_tokenizer"] or {}
+            spec = json.load(f)  # not kept: its vocabulary and merges are large
+        norm, pre = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
         steps = [x["type"] for x in norm.get("normalizers", [])]
         splits = pre.get("pretokenizers", [])
         self.supported = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
         if not self.supported:
             return
-        self.added = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.word = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         letters = byte_letters()
@@ -92,14 +92,20 @@ class WordRules:
 
 
 class ChunkEncoder:
-    """Ids of texts; `encode_many` gives the ids of distinct chunks.  The cache restarts after `limit` chunks."""
+    """Ids of texts; `encode_many` gives the ids of distinct chunks.  The cache restarts after `limit` chunks or `chars` characters and ids."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 150_000, chars: int = 4 << 20):
+        self.encode_many, self.limit, self.chars = encode_many, limit, chars
         self._restart()
 
+    def forget(self) -> None:
+        """Empty the caches, at a task's end."""
+        self._restart()
+        getattr(self.encode_many, "forget", lambda: None)()
+
     def _restart(self) -> None:
         self.slot: dict[str, int] = {}
+        self.held = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
@@ -117,6 +123,7 @@ class ChunkEncoder:
             self.start[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes
             self.size[n : n + len(part)] = sizes
             self.used += total
+            self.held += total + sum(map(len, part))
             self.slot.update(zip(part, range(n, n + len(part)), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +132,7 @@ class ChunkEncoder:
         ends = chunks.offsets.to_numpy()
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.slot) > self.limit:
+        if len(self.slot) > self.limit or self.held > self.chars:
             self._restart()
         new = [w for w in words if w not in self.slot]
         if new:
@@ -138,18 +145,28 @@ class ChunkEncoder:
         return ids, after[ends - ends[0]]
 
 
-def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 200_000) -> Callable[[list[str]], list[list[int]]]:
-    """Chunk ids from word ids, with a cache of words that restarts after `limit`."""
+def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 100_000, chars: int = 2 << 20) -> Callable[[list[str]], list[list[int]]]:
+    """Chunk ids from word ids, with a cache of words that restarts after `limit` words or `chars` characters."""
     known: dict[str, list[int]] = {}
+    held = 0
 
     def encode_many(chunks: list[str]) -> list[list[int]]:
-        if len(known) > limit:
+        nonlocal held
+        if len(known) > limit or held > chars:
             known.clear()
+            held = 0
         split = [rules.words(c) for c in chunks]
         new = list({w for ws in split for w in ws if w.__class__ is str and w not in known})
+        held += sum(map(len, new))
         known.update(zip(new, encode_words(new), strict=True))
         return [known[ws[0]] if len(ws) == 1 and ws[0].__class__ is str else [x for w in ws for x in (known[w] if w.__class__ is str else (w,))] for ws in split]
 
+    def forget() -> None:
+        nonlocal held
+        known.clear()
+        held = 0
+
+    encode_many.forget = forget
     return encode_many
 
 
