@@ -3,14 +3,18 @@
 From every sentence on, the shortest run of at least RUN sentences and LEAST_WORDS words
 is hashed.  A run that occurs before, in document order and position, is a repeat, and
 the sentences under it are removed; the first occurrence stays whole.  Sentences end
-after . ! ? or a full-width stop at the end of a word, and at line ends; one of more than
-LONG_WORDS words is cut after words that a hash chooses, so that equal passages are cut
-alike wherever they stand, and LONG_WORDS / 2 words after such a cut at the latest.
-
-Whether a sentence is long depends on what it is glued to.  So pieces, which are cut in
-that way in every sentence, short or long, make runs as well: from every piece on, the
-shortest of at least PIECE_WORDS words.  Those without a stop inside, and those whose
-whole sentences hold a run already, are left out; both are told by the run's own words.
+after . ! ? or a full-width stop at the end of a word, and at line ends.
+
+What a passage's first and last sentence are depends on the text they are glued to, and
+text without stops is one sentence.  So pieces make runs as well: a piece ends after
+every word that has the least hash of some NEAR words in a row, so that equal passages
+are cut alike but for the NEAR - 1 words at either end, and no piece has more than NEAR
+words.  From every piece on, the shortest run of at least PIECE_WORDS words is hashed: a
+passage of 51 words shares one, whatever stands around it.  Runs whose whole sentences
+hold a run already are left out, which is told by the run's own words.
+
+Runs are compared by 128 bits of a hash of their words.  A-Z count as a-z and white space
+between words as one, so a passage in capitals or with other line breaks is a repeat too.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, drop, fresh, hot_join, schema_of, slices, table, tidy
 from .grams import joined
-from .shingles import _BASE, _INVERSE, _powers, mix, word_hashes
+from .shingles import Words, range_hashes, words_of
 
-RUN, LEAST_WORDS, LONG_WORDS, CUT_ONE_IN = 3, 15, 20, 6
-PIECE_WORDS = 30
+RUN, LEAST_WORDS = 3, 15
+PIECE_WORDS, NEAR = 30, 5
 
 
 @dataclass
@@ -41,35 +45,61 @@ class Sentences:
     first_run: np.ndarray
     run_start: np.ndarray  # pieces, ascending
     run_end: np.ndarray  # the piece after the run
-    run_hash: np.ndarray
+    run_hash: np.ndarray  # two rows
+
+
+def least_of_near(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words that are the least, the last of equal ones, of NEAR words in a row of one text."""
+    n = len(hashes) - NEAR + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    least, place = hashes[:n].copy(), np.zeros(n, np.int8)
+    for d in range(1, NEAR):
+        other = hashes[d : n + d]
+        less = other <= least
+        least[less], place[less] = other[less], d
+    inside = np.ones(n, bool)
+    for end in at[1:-1].tolist():  # windows that begin before a text's end and end after it
+        inside[max(0, end - NEAR + 1) : end] = False
+    return np.flatnonzero(inside) + place[inside]
+
+
+def ends_of_sentences(data: np.ndarray, words: Words) -> np.ndarray:
+    """Whether each word ends a sentence."""
+    at, s, e = words.at, words.start, words.end
+    if not len(s):
+        return np.zeros(0, bool)
+    last = data[e - 1]
+    stop = (last == 46) | (last == 33) | (last == 63)
+    wide = np.flatnonzero((last == 0x82) & (e - s >= 3))
+    stop[wide] |= (data[e[wide] - 2] == 0x80) & (data[e[wide] - 3] == 0xE3)
+    lines = np.flatnonzero(data == 10)
+    stop[:-1] |= np.searchsorted(lines, s[1:]) > np.searchsorted(lines, e[:-1])
+    stop[at[1:][at[1:] > at[:-1]] - 1] = True
+    return stop
+
+
+def count_sentences(texts: pa.Array) -> np.ndarray:
+    """How many sentences each text has."""
+    data, ends = joined(texts)
+    words = words_of(data, ends, lanes=0)
+    return np.diff(np.concatenate([[0], np.cumsum(ends_of_sentences(data, words))])[words.at])
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Sentences]:
-    """(bytes of all texts, where each starts, sentences)."""
+def split(texts: pa.Array, lanes: int = 2) -> tuple[np.ndarray, np.ndarray, Sentences]:
+    """(bytes of all texts, where each starts, sentences); the runs' hashes have `lanes` rows, none for 0."""
     data, ends = joined(texts)
-    words, at, s, e = word_hashes(data, ends)
-    n = len(words)
+    found = words_of(data, ends, max(1, lanes))
+    words, at, s = found.hashes, found.at, found.start
+    n = len(s)
     if not n:
         none = np.zeros(len(ends), np.int64)
         return data, ends, Sentences(none, s, s, none, s, s, words)
-    last = data[e - 1]
-    stop = (last == 46) | (last == 33) | (last == 63)
-    wide = np.flatnonzero((last == 0x82) & (e - s >= 3))
-    stop[wide] |= (data[e[wide] - 2] == 0x80) & (data[e[wide] - 3] == 0xE3)
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    stop[:-1] |= lines[s[1:]] > lines[e[:-1]]
-    text_end = at[1:][at[1:] > at[:-1]] - 1
-    stop[text_end] = True
-    number = np.concatenate([[0], np.cumsum(stop)[:-1]])
-    long = np.bincount(number)[number] > LONG_WORDS
-    piece = stop | (words % np.uint64(CUT_ONE_IN) == 0)
-    # one word over and over may offer no cut: then LONG_WORDS / 2 words after the last
-    start = np.concatenate([[0], np.flatnonzero(piece[:-1]) + 1])
-    since = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    piece |= since % (LONG_WORDS // 2) == LONG_WORDS // 2 - 1
-    unit = stop | long & piece
+    stop = ends_of_sentences(data, found)
+    piece = stop.copy()
+    piece[least_of_near(words[0], at)] = True
     start = np.concatenate([[0], np.flatnonzero(piece[:-1]) + 1])  # first word of each piece
-    opens = np.concatenate([[0], np.flatnonzero(unit[:-1]) + 1])  # first word of each sentence
+    opens = np.concatenate([[0], np.flatnonzero(stop[:-1]) + 1])  # first word of each sentence
     first = np.searchsorted(start, at)
     # runs of sentences, as first words and words after the last
     m, opened = len(opens), np.append(opens, n)
@@ -82,92 +112,113 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Sentences]:
     to = np.searchsorted(starts, start + PIECE_WORDS)
     ok = to <= np.repeat(first[1:], np.diff(first))
     pstart, pend = start[ok], starts[to[ok]]
-    stops, whole = np.flatnonzero(stop), np.concatenate([[0], np.cumsum(unit)])
-    k, last = np.searchsorted(stops, pstart), np.searchsorted(stops, pend - 1) - 1
-    some = k <= last  # a stop before the last word
-    pstart, pend, low, high = pstart[some], pend[some], stops[k[some]], stops[last[some]]
-    more = (whole[high + 1] - whole[low + 1] < RUN) | (high - low < LEAST_WORDS)
-    runs = np.unique(np.concatenate([a * (n + 1) + b, pstart[more] * (n + 1) + pend[more]]))
+    stops = np.flatnonzero(stop)
+    k, last = np.searchsorted(stops, pstart), np.searchsorted(stops, pend - 1) - 1  # the first and the last stop before the last word
+    more = (last - k < RUN) | (stops[np.maximum(last, 0)] - stops[np.minimum(k, len(stops) - 1)] < LEAST_WORDS)
+    runs = np.concatenate([a * (n + 1) + b, pstart[more] * (n + 1) + pend[more]])
+    runs.sort(kind="stable")  # two sorted lists
+    runs = runs[np.concatenate([[True], runs[1:] != runs[:-1]])[: len(runs)]]
     a, b = runs // (n + 1), runs % (n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * _powers(_BASE, n), out=sums[1:])
-    h = mix((sums[b] - sums[a]) * _powers(_INVERSE, n)[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    h = np.array([range_hashes(w, a, b) for w in words[:lanes]], np.uint64).reshape(lanes, len(a))
     return data, ends, Sentences(first, s[start], np.searchsorted(opens, start, side="right") - 1, np.searchsorted(a, at), np.searchsorted(start, a), np.searchsorted(starts, b), h)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a hash of their text: rows that agree in doc_id and text are one document."""
-    return docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _text_hash() -> F.Column:
+    """Of a text: rows that agree in doc_id and text are one document."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def first_halves(docs: DataFrame) -> DataFrame:
+    """(h): the first half of the hash of every run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_pydict({"h": split(b.column("text"), lanes=1)[2].run_hash[0].view(np.int64)})
+
+    return docs.select("text").mapInArrow(tidy(run), "h long")
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, th, at): the hash of every run and its number in the text."""
+    """(h, g, doc_id, th, at): both halves of the hash of every run and its number in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             _, _, sent = split(b.column("text"))
-            rows = np.arange(len(sent.run_hash))
+            rows = np.arange(sent.run_hash.shape[1])
             owner = np.searchsorted(sent.first_run, rows, side="right") - 1
             take = pa.array(owner)
-            yield pa.RecordBatch.from_pydict({"h": sent.run_hash.view(np.int64), "doc_id": b.column("doc_id").take(take), "th": b.column("_th").take(take), "at": (rows - sent.first_run[owner]).astype(np.int32)})
+            h, g = sent.run_hash.view(np.int64)
+            yield pa.RecordBatch.from_pydict({"h": h, "g": g, "doc_id": b.column("doc_id").take(take), "th": b.column("th").take(take), "at": (rows - sent.first_run[owner]).astype(np.int32)})
 
-    return _keyed(docs.select("doc_id", "text")).mapInArrow(run, "h long, doc_id long, th long, at int")
+    return docs.select("doc_id", "text", _text_hash().alias("th")).mapInArrow(tidy(run), "h long, g long, doc_id long, th long, at int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, starts): the runs of each document that are repeats of an earlier one.
+    """(doc_id, th, starts): the runs of each document that are repeats of an earlier one, in the shared folder.
 
-    Runs are counted before anything is joined, so a run that a third of the corpus shares is one row for each
-    task; the join with the repeated ones splits such a key at runtime.
+    Half hashes are counted before anything is joined, so a run that a third of the corpus shares is one row for each
+    task; whole runs come back for the halves that several have, with how many rows have them, which tells hot keys.
     """
-    found = spans(docs)
-    several = found.groupBy("h").agg(F.min(F.struct("doc_id", "th", "at")).alias("low"), F.count("*").alias("n")).where("n > 1").select("h", "low")
-    several = cut(several, "repeated-runs")
+    several = cut(first_halves(docs).groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated-halves")
+    shared = cut(spans(docs).join(several, "h"), "shared-runs")
     place = F.struct("doc_id", "th", "at")
-    again = found.join(several, "h").where(~place.eqNullSafe(F.col("low")))
-    return again.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    first = shared.groupBy("h", "g").agg(F.min(place).alias("low"), F.count("*").alias("n"), F.max("rows").alias("rows")).where("n > 1").select("h", "g", "low", "rows")
+    again = hot_join(shared, first, ["h", "g"], "rows", ["doc_id", "th", "at"]).where(~place.eqNullSafe(F.col("low")))
+    starts = cut(again.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("starts")), "repeats")
+    drop(several, shared)
+    return starts
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with text without repeats, n_sentences and n_removed (sentences that lost words); a text without repeats stays as it is, null stays null."""
-    names = [c for c in docs.columns if c != "text"]
-    found = cut(repeats(docs), "repeats").select(F.col("doc_id").alias("_id"), F.col("th").alias("_t"), "starts")
-    keyed = _keyed(docs)
-    both = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t")), "left").select(*names, "text", "starts")
+def remove_repeats(docs: DataFrame, added: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
+    """`docs` with text without repeats, its sentences and how many of them lost words; a text without repeats stays as it is, null stays null.
+
+    `added` names the two; columns that have the names already are replaced. Memory: about 25 bytes for each of a text's.
+    """
+    names = [c for c in docs.columns if c != "text" and c.lower() not in {x.lower() for x in added}]
+    own_id, own_th, starts_at = fresh(docs, "_doc", "_th", "_starts")
+    found = repeats(docs).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("starts").alias(starts_at))
+    both = docs.select(*names, "text").join(found, F.col("doc_id").eqNullSafe(F.col(own_id)) & (_text_hash() == F.col(own_th)), "left").select(*names, "text", starts_at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            data, ends, sent = split(b.column("text"))
-            texts, removed, given = [], [], b.column("text")
-            starts = b.column("starts").to_pylist()
-            after = np.concatenate([[0], sent.sentence + 1])  # texts end sentences
-            counts = np.diff(after[sent.first])
-            for i, marks in enumerate(starts):
-                if not marks:
-                    texts.append(given[i].as_py())
-                    removed.append(0)
-                    continue
-                lo, hi = int(sent.first[i]), int(sent.first[i + 1])
-                edge = np.zeros(hi - lo + 1, np.int32)
-                marks = sent.first_run[i] + np.array(marks)
-                np.add.at(edge, sent.run_start[marks] - lo, 1)
-                np.add.at(edge, sent.run_end[marks] - lo, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                begin = np.append(sent.begin[lo:hi], ends[i + 1])
-                begin[0] = ends[i]
-                keep = np.repeat(~gone, np.diff(begin))
-                texts.append(data[ends[i] : ends[i + 1]][keep].tobytes().decode("utf-8"))
-                removed.append(len(np.unique(sent.sentence[lo:hi][gone])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(counts), pa.array(removed, pa.int64())], [*names, "text", "n_sentences", "n_removed"])
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return both.mapInArrow(run, f"{schema}, text string, n_sentences long, n_removed long")
+            given, starts = b.column("text"), b.column(starts_at).to_pylist()
+            counts, texts, removed = count_sentences(given), given, np.zeros(b.num_rows, np.int64)
+            if marked := [i for i, marks in enumerate(starts) if marks]:
+                data, ends, sent = split(given.take(pa.array(marked)), lanes=0)
+                texts = given.to_pylist()
+                for j, i in enumerate(marked):
+                    lo, hi = int(sent.first[j]), int(sent.first[j + 1])
+                    edge = np.zeros(hi - lo + 1, np.int32)
+                    marks = sent.first_run[j] + np.array(starts[i])
+                    np.add.at(edge, sent.run_start[marks] - lo, 1)
+                    np.add.at(edge, sent.run_end[marks] - lo, -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    begin = np.append(sent.begin[lo:hi], ends[j + 1])
+                    begin[0] = ends[j]
+                    keep = np.repeat(~gone, np.diff(begin))
+                    texts[i] = data[ends[j] : ends[j + 1]][keep].tobytes().decode("utf-8")
+                    removed[i] = len(np.unique(sent.sentence[lo:hi][gone]))
+                texts = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), texts, pa.array(counts), pa.array(removed)], [*names, "text", *added])
+
+    return both.mapInArrow(tidy(run), schema_of(docs, names, "text string", *(f"`{c}` long" for c in added)))
+
+
+def keep_new(docs: DataFrame) -> DataFrame:
+    """`docs` without repeated passages and without documents of nothing else; n_chars, where it is a column, follows the text."""
+    added = tuple(fresh(docs, "n_sentences", "n_removed"))
+    lost = F.col(added[1]) > 0
+    cleaned = remove_repeats(docs, added).where(~lost | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(lost, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(docs.columns)
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that repeat an earlier passage.
 
     Order is by doc_id (null first), a hash of the text, position. Rows that agree in doc_id and text are one
-    document and keep the same sentences. Null and empty texts pass through; a text of repeats alone becomes empty.
+    document and keep the same sentences. Null and empty texts pass through; a text of repeats alone becomes empty;
+    an empty table gives no row. A passage that differs in the case of A-Z or in white space alone is a repeat.
     """
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_sentences", "n_removed")

@@ -1,11 +1,18 @@
-"""Word shingles of batches of texts as 64-bit hashes, in numpy."""
+"""Words and word shingles of batches of texts as hashes.
+
+A word's hash is XXH3 of its bytes, taken once for each distinct word of a window of text.
+Runs of words are hashed by rounds of multiplication and mixing, so that no sequence of
+words meets another by construction, as in a polynomial it would.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .grams import joined
 
@@ -13,11 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_RNG = np.random.default_rng(7)
-_BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
+#: Bytes of text whose words are taken at once; a window ends at white space.
+WINDOW = 1 << 21
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,34 +32,66 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        p = np.full(max(n, 1 << 16), base, np.uint64)
-        p[0] = 1
-        _POWERS[base] = np.cumprod(p)
-    return _POWERS[base][:n]
+def stir(h: np.ndarray) -> np.ndarray:
+    """Mix in place what the next multiplication spreads further."""
+    h ^= h >> np.uint64(32)
+    return h
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of the words, where each text's words start and end, first byte and last of each word).
+@dataclass
+class Words:
+    """The words of a batch of texts: runs without space, \\t, \\n, \\v, \\f, \\r; A-Z count as a-z.
 
-    Words are runs without space, \\t, \\n, \\v, \\f, \\r; A-Z count as a-z. A word's hash is a polynomial of its
-    bytes, taken from running sums, so that a batch needs no loop.
+    `hashes` has one or two independent rows of 64 bits; `at` where each text's words start, and the end; `start` and `end`
+    the bytes of each word in all texts' bytes.
     """
-    space = _SPACE[data]
-    n = len(data)
-    first = ~space
-    first[1:] &= space[:-1]
-    edge = ends[1:-1][ends[1:-1] < n]
-    first[edge] = ~space[edge]
-    last = ~space
-    last[:-1] &= space[1:]
-    last[edge[edge > 0] - 1] = ~space[edge[edge > 0] - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * _powers(_BASE, n), out=sums[1:])
-    h = (sums[e] - sums[s]) * _powers(_INVERSE, n + 1)[s]
-    return mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(s, ends), s, e
+
+    hashes: np.ndarray
+    at: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def _windows(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about WINDOW bytes that cut no word."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + WINDOW)
+        while b < n and not _SPACE[data[b]]:  # on to the next white space or the next text
+            step = np.flatnonzero(_SPACE[data[b : b + 4096]])
+            text = int(ends[np.searchsorted(ends, b)])
+            b = min(text, b + (int(step[0]) if len(step) else 4096))
+            if b == text:
+                break
+        yield a, b
+        a = b
+
+
+def words_of(data: np.ndarray, ends: np.ndarray, lanes: int = 2) -> Words:
+    """The words of texts given as their bytes in a row and where each starts; the first `lanes` rows of their hashes."""
+    hashes, starts, stops = [], [], []
+    for a, b in _windows(data, ends):
+        part = data[a:b]
+        space = _SPACE[part]
+        edge = ends[slice(*np.searchsorted(ends, [a, b], side="right"))] - a
+        edge = edge[edge < b - a]
+        first, last = ~space, ~space
+        first[1:] &= space[:-1]
+        first[edge] = ~space[edge]
+        last[:-1] &= space[1:]
+        last[edge - 1] = ~space[edge - 1]
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts.append(s + a)
+        stops.append(e + a)
+        if lanes:
+            offsets = np.zeros(len(s) + 1, np.int32)
+            np.cumsum(e - s, out=offsets[1:])
+            coded = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[part[~space]])]).dictionary_encode()
+            known = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist()))
+            hashes.append(np.frombuffer(known, np.uint64).reshape(-1, 2).T[:lanes, coded.indices.to_numpy()])
+    none = np.zeros(0, np.int64)
+    start, end = np.concatenate([none, *starts]), np.concatenate([none, *stops])
+    return Words(np.concatenate([np.zeros((lanes, 0), np.uint64), *hashes], axis=1), np.searchsorted(start, ends), start, end)
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -62,24 +99,44 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    factor = 1
-    for i in range(k):
-        factor = factor * 0xC2B2AE3D27D4EB4F % (1 << 64)
-        h += words[i : i + n] * np.uint64(factor)
-    return mix(h)
+    h = words[:n].copy()
+    for i in range(1, k):
+        h *= _ODD[0]
+        h += words[i : i + n]
+        stir(h)
+    return mix(h * _ODD[1])
+
+
+def range_hashes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of the words a..b of each of some ranges: of the two longest runs of 2^j words that start and end it, and its size.
+
+    Runs of 2^(j+1) words come from those of 2^j words, level by level, so that memory holds two levels.
+    """
+    out = np.zeros(len(a), np.uint64)
+    level = np.frexp(np.maximum(b - a, 1))[1] - 1  # 2^level <= size
+    runs = words
+    most = int(level.max(initial=-1))
+    for j in range(most + 1):
+        own = np.flatnonzero(level == j)
+        size = (b[own] - a[own]).astype(np.uint64)
+        out[own] = mix(runs[a[own]] * _ODD[0] + runs[b[own] - (1 << j)] * _ODD[1] + size)
+        if j < most:
+            longer = runs[: -(1 << j)] * _ODD[0]
+            longer += runs[1 << j :]
+            runs = stir(longer)
+    return out
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; of fewer words the whole as one; of none nothing."""
-    data, ends = joined(texts)
-    words, at, _, _ = word_hashes(data, ends)
-    runs = run_hashes(words, k)
+    words = words_of(*joined(texts), lanes=1)
+    own, at = words.hashes[0], words.at
+    runs = run_hashes(own, k)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= k:
             h = np.sort(runs[a : b - k + 1])
             yield h[np.concatenate([[True], h[1:] != h[:-1]])]
         elif b > a:
-            yield run_hashes(words[a:b], b - a) ^ np.uint64((b - a) * 0x9E3779B9)
+            yield run_hashes(own[a:b], b - a) ^ np.uint64((b - a) * 0x9E3779B9)
         else:
             yield runs[:0]
