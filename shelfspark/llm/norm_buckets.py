@@ -17,10 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .vectors import finite, search_blocks, stored, top_k
 
-BUCKET_ROWS, BLOCK_ROWS = 1024, 1 << 15
+BUCKET_ROWS, BLOCK_ROWS = 1024, 1 << 13
 #: Local cosine thresholds from which coordinates are used, and how many of a query's largest.
 COORDINATES_FROM, FOCUS = 0.8, 4
 #: Room for rounding in the pruning bounds; the products themselves are exact.
@@ -30,11 +30,14 @@ _LONG = (1 << 63) - 1
 
 
 def exact_products(X: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer products of integer-valued doubles: in doubles where that is exact, else in Python's integers, held to the range of a long."""
+    """Integer products of integer-valued doubles: in doubles where that is exact, else in Python's integers; one beyond a long is an error."""
     if X.shape[1] * np.abs(X).max(initial=0) * np.abs(q).max(initial=0) < 2**53:
         return (X @ q).astype(np.int64)
     ints = [int(x) for x in q]
-    return np.array([max(-_LONG - 1, min(_LONG, sum(int(a) * b for a, b in zip(row, ints, strict=True)))) for row in X], np.int64)
+    found = [sum(int(a) * b for a, b in zip(row, ints, strict=True)) for row in X]
+    if not all(-_LONG - 1 <= x <= _LONG for x in found):
+        raise OverflowError("an integer product of two vectors is beyond a long")
+    return np.array(found, np.int64)
 
 
 class NormBuckets:
@@ -95,9 +98,10 @@ def largest_products(vectors: DataFrame, k: int = K, every: int = EVERY, scale:
     valid = vectors.where(F.col("vec_id").isNotNull() & finite("embedding"))
     # lengths before rounding deal the rows out well enough
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    rows, path = stored(valid.select("vec_id", "embedding", square.alias("norm2")), "vectors")
+    rows, path = stored(valid.select("vec_id", "embedding", square.alias("norm2")), every)
     # the longest rows of all give every block a threshold to start from; at most BUCKET_ROWS rows
-    seeds = rows.orderBy(F.desc("norm2"), "uid").limit(BUCKET_ROWS).select("vec_id", "uid", "embedding").collect()
+    # they are merged by a task, not by the driver
+    seeds = cut(rows.orderBy(F.desc("norm2"), "uid").limit(BUCKET_ROWS).select("vec_id", "uid", "embedding"), "longest").collect()
     shared = rows.sparkSession.sparkContext.broadcast([(r.vec_id, r.uid, r.embedding) for r in seeds])
 
     def prepare(ids: np.ndarray, uids: np.ndarray, X: np.ndarray):
@@ -112,14 +116,14 @@ def largest_products(vectors: DataFrame, k: int = K, every: int = EVERY, scale:
 
         return search
 
-    return search_blocks(rows, path, every, block_rows, prepare, k, "long", by=[F.desc("norm2"), F.xxhash64("uid")])
+    return search_blocks(rows, path, block_rows, prepare, k, "long", by=[F.desc("norm2"), F.xxhash64("uid")])
 
 
 def op3_norm_bucket_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer products of every row of `embeddings` whose vec_id is divisible by 50.
 
     Rows without vec_id and vectors that are null or hold null or non-finite components take no part; vectors
-    of different dimensions are not compared; a product beyond a long is held to its range. Repeated rows count
-    each; only the query's own row is left out.
+    of different dimensions are not compared; a product beyond a long ends the query with an error, as an overflow
+    does in SQL. Repeated rows count each; only the query's own row is left out. An empty table gives no row.
     """
     return largest_products(table(spark, sf_dir, "embeddings"))
