@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
 _HEAD = struct.Struct("<QqQBxxxxxxx")
 #: One position in so many is kept; 32-bit positions are enough below 2**32 upper bits.
 EVERY = 256
+#: Values whose low bits are packed at once.
+PACKED = 1 << 13
 
 
 class EliasFano:
@@ -35,13 +38,17 @@ class EliasFano:
         rest = values.astype(np.uint64) - np.uint64(base % (1 << 64))  # wraps, so any 64-bit range fits
         top = int(rest[-1])
         low = max(0, (top // n).bit_length() - 1)
-        bits = ((rest[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        shifts = np.arange(low, dtype=np.uint64)
+        packed = [np.zeros(0, np.uint8)]
+        for a in range(0, n if low else 0, PACKED):  # a multiple of eight values ends at a whole byte
+            bits = ((rest[a : a + PACKED, None] >> shifts) & np.uint64(1)).astype(np.uint8)
+            packed.append(np.packbits(bits.ravel(), bitorder="little"))
         ones = (rest >> np.uint64(low)).astype(np.int64) + np.arange(n)
         if ones[-1] >= 1 << 32:
             raise ValueError("one sequence holds 2**32 upper bits at most")
         unary = np.zeros(int(ones[-1]) + 1, np.uint8)
         unary[ones] = 1
-        return cls(n, base, top, low, np.packbits(bits.ravel(), bitorder="little"), np.packbits(unary, bitorder="little"), ones[::EVERY].astype(np.uint32))
+        return cls(n, base, top, low, np.concatenate(packed), np.packbits(unary, bitorder="little"), ones[::EVERY].astype(np.uint32))
 
     def to_bytes(self) -> bytes:
         return _HEAD.pack(self.n, self.base, self.top, self.low_bits) + self.lower.tobytes() + self.upper.tobytes() + self.samples.astype("<u4").tobytes()
@@ -60,34 +67,29 @@ class EliasFano:
             at += size
         return cls(n, base, top, low, *parts), at
 
-    def _signed(self, rest: int) -> int:
-        return (self.base + rest + (1 << 63)) % (1 << 64) - (1 << 63)
-
     def select(self, i: int) -> int:
-        """The i-th value, read around its sample only."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        from_bit, left = int(self.samples[i // EVERY]), i % EVERY
-        byte = from_bit // 8
-        seen = -int(np.bitwise_count(self.upper[byte] & np.uint8((1 << from_bit % 8) - 1)))
-        while True:
-            counts = seen + np.cumsum(np.bitwise_count(self.upper[byte : byte + 64]), dtype=np.int64)
-            k = int(np.searchsorted(counts, left + 1))
-            if k < len(counts):
-                break
-            seen, byte = int(counts[-1]), byte + 64
-        before = int(counts[k - 1]) if k else seen
-        ones = np.flatnonzero(np.unpackbits(self.upper[byte + k : byte + k + 1], bitorder="little"))
-        high = (byte + k) * 8 + int(ones[left - before]) - i
-        at = i * self.low_bits
-        word = int.from_bytes(self.lower[at // 8 : (at + self.low_bits + 7) // 8].tobytes(), "little")
-        return self._signed(high << self.low_bits | word >> at % 8 & (1 << self.low_bits) - 1)
+        """The i-th value."""
+        return int(self.select_range(i, i + 1)[0])
 
-    def all(self) -> np.ndarray:
-        """Every value."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.lower, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def select_range(self, i: int, j: int) -> np.ndarray:
+        """The values i..j-1: the upper bits are read from the sample before the i-th one to that after the last, the low bits of these values only."""
+        if not 0 <= i < self.n or not i < j <= self.n:
+            raise IndexError((i, j))
+        first, after = i // EVERY, -(-j // EVERY)
+        bit = int(self.samples[first])
+        end = int(self.samples[after]) if after < len(self.samples) else 8 * len(self.upper)
+        ones = np.flatnonzero(np.unpackbits(self.upper[bit // 8 : (end + 7) // 8], bitorder="little")) + bit // 8 * 8
+        skip = int(np.searchsorted(ones, bit)) + i - first * EVERY
+        high = ones[skip : skip + j - i] - np.arange(i, j)
+        low = np.zeros(j - i, np.uint64)
+        if self.low_bits:
+            at = i * self.low_bits
+            bits = np.unpackbits(self.lower[at // 8 : (j * self.low_bits + 7) // 8], bitorder="little")[at % 8 :][: (j - i) * self.low_bits].reshape(j - i, self.low_bits)
+            for k in range(self.low_bits):
+                low |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return ((high.astype(np.uint64) << np.uint64(self.low_bits)) + low + np.uint64(self.base % (1 << 64))).astype(np.int64)
+
+    def all(self) -> Iterator[int]:
+        """Every value, some at a time."""
+        for a in range(0, self.n, PACKED):
+            yield from self.select_range(a, min(self.n, a + PACKED)).tolist()
