@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, join_uri, put_file, scratch, table
+from .common import cut, filesystem, join_uri, put_file, scratch, slices, table, tidy
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 DATE = "1970-01-01T00:00:00Z"
@@ -170,17 +170,18 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return facts.join(several, ["digest", "size", "salt"], "left").select("page_id", "url", "html", "original")
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> list:
-    """Write a record per page; returns a row per archive (path, records, bytes)."""
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+    """Write a record per page; returns the manifest, a row per archive (path, records, bytes), in the shared folder."""
     spark = pages.sparkSession
     sample = pages.where("html is not null").select(F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(SAMPLE_PAGES)
-    dictionary = train_dictionary([record(i, None, r.html.encode(), None, False) for i, r in enumerate(sample.collect())])
+    sample = cut(sample, "dictionary-pages")  # merged by a task: the driver gets SAMPLE_PAGES rows, not as many of each task
+    dictionary = train_dictionary([record(i, None, r.html.encode(), None, False) for i, r in enumerate(sample.orderBy("h").collect())])
     shared = spark.sparkContext.broadcast(dictionary)  # at most DICT_BYTES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         packer = zstandard.ZstdCompressor(level=3, write_checksum=True, **({"dict_data": zstandard.ZstdCompressionDict(shared.value)} if shared.value else {}))
-        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "original")), strict=True))
+        rows = (row for b in slices(batches, "html") for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "original")), strict=True))
         n = 0
 
         def frames() -> Iterator[bytes]:
@@ -202,10 +203,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> list:
             if n == 0 or size < ARCHIVE_BYTES:
                 break
 
-    return with_originals(pages, min_bytes).mapInArrow(write, "path string, records long, bytes long").collect()
+    return cut(with_originals(pages, min_bytes).mapInArrow(tidy(write), "path string, records long, bytes long"), "archives")
 
 
-def read_archives(spark: SparkSession, archives: list) -> DataFrame:
+def read_archives(archives: DataFrame) -> DataFrame:
     """A row per record of the archives, each checked against its headers; the records must be as many as were written."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +226,7 @@ def read_archives(spark: SparkSession, archives: list) -> DataFrame:
                 if n != expected:
                     raise BadArchive(f"{path} has {n} records of {expected}")
 
-    files = spark.createDataFrame([(r.path, r.records) for r in archives], "path string, records long").repartition(max(1, min(len(archives), 4096)))
-    return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path", "records").repartition(max(1, min(archives.count(), 4096))).mapInArrow(tidy(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,8 @@ def op7_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A null html is an empty payload; a null url becomes the page's own URN. Rows that repeat a page_id with the
     same payload are responses all, since none can refer to itself. A null page_id never is an original unless
-    no other page has the payload. An empty table gives archives without records and no row.
+    no other page has the payload. An empty table gives archives without records and no row. Further columns take no
+    part. Memory: some copies of one page, however long, and a slice of shorter ones.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return read_archives(spark, write_archives(pages, scratch(spark, "warc")))
+    return read_archives(write_archives(pages, scratch(spark, "warc")))
