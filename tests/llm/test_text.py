@@ -7,10 +7,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from shelfspark.llm import components, language, ngram_join, quality, sentence_spans
+from shelfspark.llm import common, components, grams, language, ngram_join, quality, sentence_spans, shingles
 from shelfspark.llm.common import table
-from shelfspark.llm.shingles import shingle_sets
+from shelfspark.llm.grams import joined
+from shelfspark.llm.shingles import range_hashes, shingle_sets, words_of
 
 from .conftest import DOCS, doc, prose
 
@@ -97,6 +99,45 @@ def test_one_language_none_and_no_rows(spark, tables):
     assert language.op4_language_svm(spark, tables(documents=([], DOCS))).count() == 0
 
 
+def test_many_languages_and_one_id_of_many_rows(spark, tables):
+    langs = [f"l{k:02d}" for k in range(60)]
+    rows = [doc(i, " ".join(random.Random(1000 * (i % 60) + j % 7).choice(["ba", "ce", "di", "fo", "gu"]) + chr(97 + (i % 60) % 26) + chr(97 + (i % 60) // 3) for j in range(30)), langs[i % 60]) for i in range(1200)]
+    rows += [doc(7_000_001, "ein text", "l00")] * 5000 + [doc(7_000_001, "noch einer", "l01")] * 2000
+    docs = table(spark, tables(documents=(rows, DOCS)), "documents")
+    sample = language.labelled(docs, False, 250)
+    got = sample.groupBy("lang").count().collect()
+    assert {r.lang for r in got} == set(langs) and sum(r["count"] for r in got) <= 2 * language.MOST_ROWS
+    assert sample.where("doc_id = 7000001").count() == 2 * (not held(7_000_001, 4, 2))
+    pred = {r.doc_id: r for r in language.predict_language(docs.where("doc_id < 1200"), language.learn(docs)).collect()}
+    assert np.mean([pred[i].lang_pred == langs[i % 60] for i in range(1200)]) > 0.95
+
+
+def test_machines_against_brute_force():
+    """Families first, then a vote of every pair inside the family, one row and one pair at a time."""
+    langs = ["en", "de", "nl", "fr", "es", "zz"]
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((6, 40))
+    X = np.repeat(centres, 20, 0) + 0.6 * rng.standard_normal((120, 40))
+    X = (X / np.linalg.norm(X, axis=1, keepdims=True)).astype(np.float32)
+    y = np.repeat(langs, 20)
+    model = language.LanguageModel(X, y)
+    names, _ = model.predict(X)
+
+    def vote(level, x):
+        wins, margin = dict.fromkeys(level.names, 0), dict.fromkeys(level.names, 0.0)
+        for w, (a, b) in zip(level.weights, level.pairs, strict=True):
+            m = float(np.append(x, 1) @ w)
+            wins[level.names[a] if m > 0 else level.names[b]] += 1
+            margin[level.names[a]] += np.tanh(m)
+            margin[level.names[b]] -= np.tanh(m)
+        return max(level.names, key=lambda n: (wins[n], margin[n]))
+
+    for x, name in zip(X, names, strict=True):
+        family = vote(model.upper, x)
+        assert name == vote(model.lower[model.upper.names.index(family)], x)
+    assert np.mean(np.array(names) == y) > 0.95 and {language.family(n) for n in langs} == set(model.upper.names)
+
+
 # --- n-gram join ---------------------------------------------------------------------------------------------------
 def plain_set(text, k=5):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
@@ -197,6 +238,47 @@ def test_shingle_hashes_follow_the_words():
     assert s[0] == s[1] != s[2] and len(s[0]) == 2 and len(s[3]) == 1 and s[3][0] in s[0] and len(s[4]) == 1 and s[5] == s[6] == ()
 
 
+def thue_morse(n, a, b):
+    """A sequence and its complement: polynomial hashes modulo 2**64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return [[a, b][x] for x in bits], [[b, a][x] for x in bits]
+
+
+def test_no_texts_hash_alike_by_construction(spark, tables):
+    one, two = ("".join(x) for x in thue_morse(1024, "a", "b"))  # words of 1024 letters
+    first, second = (" ".join(x) for x in thue_morse(1024, "a", "b"))  # 1024 words
+    rows = [doc(1, one), doc(2, two), doc(3, "a b c d " + one), doc(4, "a b c d " + two)]
+    got = {r.doc_id: r.component_id for r in ngram_join.op10_ngram_jaccard(spark, tables(documents=(rows, DOCS))).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    words = words_of(*joined(pa.array([first, second])))
+    a, b = np.array([0, 1024, 0]), np.array([1024, 2048, 1024])
+    for lane in words.hashes:
+        h = range_hashes(lane, a, b)
+        assert h[0] != h[1] and h[0] == h[2]
+    passage = prose(77, 60, sentence=12).split()
+    rows = [doc(1, " ".join(passage + [one] * 30)), doc(2, " ".join([two] * 30 + prose(78, 60, sentence=12).split()))]
+    assert [r.n_removed for r in sentence_spans.op8_sentence_spans(spark, tables(documents=(rows, DOCS))).orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_words_do_not_depend_on_windows(monkeypatch):
+    texts = pa.array([prose(k, 50) + "\u00e9\n" * (k % 3) for k in range(20)] + ["", None, "x" * 500, " y "])
+    whole = words_of(*joined(texts))
+    monkeypatch.setattr(shingles, "WINDOW", 64)
+    parts = words_of(*joined(texts))
+    assert all((getattr(whole, c) == getattr(parts, c)).all() for c in ("hashes", "at", "start", "end"))
+    flat = " ".join(x for x in texts.to_pylist() if x).lower().split()
+    assert len(whole.start) == len(flat) == whole.at[-1] and len(set(whole.hashes[0].tolist())) == len(set(flat))
+
+
+def test_features_do_not_depend_on_steps(monkeypatch):
+    texts = pa.array([prose(k, 5 + 40 * (k % 4)) for k in range(30)] + ["", None, "ab", "x" * 700])
+    whole = quality.features(texts), language.features(texts)
+    monkeypatch.setattr(grams, "STEP", 101)
+    assert (quality.features(texts) == whole[0]).all() and (language.features(texts) == whole[1]).all()
+    for k in range(len(texts)):
+        assert (quality.features(texts[k : k + 1])[0] == whole[0][k]).all() and np.allclose(language.features(texts[k : k + 1])[0], whole[1][k], atol=1e-6)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1040)] + [(k, k + 1) for k in range(2000, 2050)] + [(5, 5)]
@@ -262,7 +344,9 @@ def span_corpus():
     return rows
 
 
-def test_spans_against_a_loop(spark, tables):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_spans_against_a_loop(spark, tables, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     rows = span_corpus()
     d = tables(documents=([doc(i, t) for i, t in rows] + [doc(40, None), doc(41, ""), doc(42, "  ")], DOCS))
     got = {r.doc_id: r for r in sentence_spans.op8_sentence_spans(spark, d).collect()}
@@ -353,3 +437,35 @@ def test_near_copies_with_repeated_and_missing_ids(spark, tables):
     kept = sorted(((r.doc_id, r.text) for r in got), key=repr)
     assert [x for x in kept if x[0] is not None] == [(1, copied), (2, own), (3, None)]
     assert len(kept) == 4 and [t for i, t in kept if i is None][0] in (rows[5][1], rows[6][1])
+
+
+def test_columns_of_clashing_names_pass_every_stage(spark, tables):
+    import corpus_pipeline as cp
+
+    rows, labels = quality_corpus(60)
+    copies = [doc(100 + k, prose(700, 120)) for k in range(3)]
+    d = tables(documents=(rows + copies, DOCS), labels=(labels, LABELS))
+    names = "quality_score lang_pred lang_score lang_fit _th _id _t starts _doc _starts n_sentences n_removed _row _first _k comp sid component_id text_ h salt place tie Text2".split()
+    docs = table(spark, d, "documents")
+    docs = docs.select(*docs.columns, *(F.lit(f"own {n}").alias(n) for n in names))
+    for name, f in cp.STAGES[:-1]:
+        got = f(spark, docs, d)
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert kept and all(r[n] == f"own {n}" for r in kept for n in names), name
+    assert cp.STAGES[-1][1](spark, docs, d).count() >= len(rows)
+
+
+def test_stages_over_nothing_nulls_and_long_texts(spark, tables):
+    import corpus_pipeline as cp
+
+    rows, labels = quality_corpus(40)
+    long = prose(5, 200_000)
+    for given in ([], [doc(None, None), doc(None, ""), doc(1, None), doc(1, ""), doc(2, " ")], [doc(1, long), doc(2, long + " x"), doc(3, long[:-30])]):
+        d = tables(documents=(given, DOCS), labels=(labels, LABELS))
+        docs = table(spark, d, "documents")
+        assert cp.quality_stage(spark, docs, d).count() <= len(given) and cp.language_stage(spark, docs, d).count() <= len(given)
+        assert cp.near_copies_stage(spark, docs, d).count() == (1 if given and given[0][1] == long else len(given))
+        cleaned = {r.doc_id: r.text for r in cp.repeats_stage(spark, docs, d).collect()}
+        assert all(len(t) < 200 for i, t in cleaned.items() if i in (2, 3) and t) and (not given or given[0][1] != long or cleaned[1] == long)
+        assert cp.packing_stage(spark, docs, d).count() >= len(given)

@@ -64,8 +64,11 @@ def test_elias_fano(size, top):
     values = np.sort(rng.integers(-top, top + 1, size))
     made = EliasFano.encode(values)
     read, end = EliasFano.from_bytes(b"xyz" + made.to_bytes(), 3)
-    assert end == 3 + len(made.to_bytes()) and read.all().tolist() == values.tolist()
+    assert end == 3 + len(made.to_bytes()) and list(read.all()) == values.tolist()
     assert [read.select(i) for i in range(0, size, 7)] == values[::7].tolist()
+    for i, j in [(0, size), (5, 6), (250, 260), (255, 512), (256, 257), (size - 1, size)]:
+        if 0 <= i < j <= size:
+            assert read.select_range(i, j).tolist() == values[i:j].tolist()
     with pytest.raises(IndexError):
         read.select(size)
     if size > 5:
@@ -82,9 +85,10 @@ def docs_table(tables, rows):
 def test_shards_round_trip(spark, tables, library):
     rows = [doc(7 * i % 101, t) for i, t in enumerate([*ODD, *(prose(k, 60) for k in range(60))])] + [doc(None, "no id"), doc(5, "twice"), doc(5, "twice"), doc(-3, "negative")]
     d = tables(documents=(rows, DOCS))
-    shards = tokenbin.write_shards(table(spark, d, "documents").select("doc_id", "text"), scratch(spark, "t"), WORD_BPE, shard_ids=500)
-    assert len(shards) > 3 and sum(s.n_docs for s in shards) == len(rows)
-    got = tokenbin.read_shards(spark, shards).collect()
+    shards = tokenbin.write_shards(table(spark, d, "documents").select("doc_id", "text"), scratch(spark, "t"), WORD_BPE, shard_ids=500, shard_docs=20)
+    manifest = sorted(shards.collect(), key=lambda r: (r.part, r.k))
+    assert len(manifest) > 3 and sum(s.n_docs for s in manifest) == len(rows) and max(s.n_docs for s in manifest) <= 20
+    got = tokenbin.read_shards(shards).collect()
     assert len(got) == len(rows)
     sums = defaultdict(list)
     for i, t, *_ in rows:
@@ -98,10 +102,23 @@ def test_shards_round_trip(spark, tables, library):
         at += r.n_tokens
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order[0] is None and order[1:] == sorted(order[1:])
-    shard = tokenbin.Shard(shards[0].path)
+    shard = tokenbin.Shard(manifest[0].path)
     assert shard.width == 2 and shard.document(0).tolist() == library[0]("no id") + [1]
 
 
+def test_one_id_of_many_rows_and_empty_texts(spark, tables):
+    d = tables(documents=([doc(5, "the same text")] * 20_000 + [doc(i, "") for i in range(10**12, 10**12 + 3 * 10**9, 10**5)], DOCS))
+    docs = table(spark, d, "documents").select("doc_id", "text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these partitions are small
+    try:
+        shards = tokenbin.write_shards(docs, scratch(spark, "t"), WORD_BPE, shard_docs=4096)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.groupBy("part").sum("n_docs").agg({"sum(n_docs)": "max"}).first()[0] < 30_000  # equal rows go to several tasks
+    got = tokenbin.read_shards(shards).selectExpr("count(*) n", "count(distinct start) starts", "max(start + n_tokens) ids", "sum(n_tokens) total", "count_if(n_tokens = 1) empty").first()
+    assert got.n == got.starts == 50_000 and got.ids == got.total and got.empty == 30_000
+
+
 def test_shards_of_an_empty_table(spark, tables):
     d = tables(documents=([], DOCS))
     assert tokenbin.op5_token_binary(spark, d).count() == 0
@@ -174,8 +191,8 @@ def test_best_fit_and_crossover_keep_every_item(seed):
 
 
 def test_genetic_search_beats_best_fit_where_it_can(spark):
-    # best fit decreasing needs one bin more than the optimum of 3 here
-    items = {44: 2, 24: 4, 22: 2, 21: 2, 17: 1, 8: 1, 6: 1}
+    # six full bins, cut at random; best fit needs seven
+    items = {36: 1, 38: 1, 14: 2, 12: 1, 44: 2, 43: 1, 13: 1, 31: 3, 42: 1, 27: 1, 25: 1, 30: 1, 20: 1, 18: 2, 32: 1, 21: 1, 16: 1}
     best = packing.pack(spark, items, 100, epochs=4, generations=20, population=8)
-    assert packing.bins(best) <= packing.bins(packing.best_fit(items, 100))
+    assert packing.bins(best) == 6 < packing.bins(packing.best_fit(items, 100)) == 7
     assert packing.pack(spark, {}, 100) == []

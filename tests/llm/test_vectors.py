@@ -100,8 +100,22 @@ def test_pruning_by_length_and_coordinates_is_exact_and_saves_work():
 
 
 def test_products_beyond_doubles():
-    X = np.array([[2.0**40, 1.0], [3.0, 2.0**50], [-(2.0**62), 0.0]])
+    X = np.array([[2.0**40, 1.0], [3.0, 2.0**50], [-(2.0**43), 0.0]])
     assert norm_buckets.exact_products(X, np.array([2.0**20, 1.0])).tolist() == [2**60 + 1, 3 * 2**20 + 2**50, -(2**63)]
+    with pytest.raises(OverflowError):
+        norm_buckets.exact_products(X, np.array([2.0**21, 1.0]))
+
+
+def test_a_thousand_equal_vectors_tie_by_id(spark, tables):
+    from shelfspark.llm.common import table
+
+    rng = np.random.default_rng(3)
+    same = [float(np.float32(x)) for x in rng.standard_normal(33)]
+    rows = [(i, same, 0) for i in rng.permutation(1001).tolist()] + [(5000 + i, [float(np.float32(x)) for x in 0.3 * rng.standard_normal(33)], 0) for i in range(300)]
+    got = grouped(hash_forest.nearest(table(spark, tables(embeddings=(rows, EMB)), "embeddings"), k=20, every=100, share=1.0, block_rows=200).collect(), 20)
+    assert {i for i in got if i <= 1000} == set(range(0, 1001, 100))
+    for i in range(0, 1001, 100):
+        assert [j for j, _ in got[i]] == [j for j in range(22) if j != i][:20] and len({s for _, s in got[i]}) == 1
 
 
 def test_empty(spark, tables):

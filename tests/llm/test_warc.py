@@ -33,7 +33,7 @@ def test_round_trip(spark, tables):
 
 def test_archive_layout(spark, tables):
     folder = scratch(spark, "w")
-    archives = warc.write_archives(table(spark, tables(pages=(rows(), PAGES)), "pages"), folder)
+    archives = warc.write_archives(table(spark, tables(pages=(rows(), PAGES)), "pages"), folder).collect()
     assert sum(a.records for a in archives) == len(rows())
     data = open(archives[0].path.removeprefix("file://"), "rb").read()
     magic, size = struct.unpack("<II", data[:8])
@@ -48,7 +48,7 @@ def test_archive_layout(spark, tables):
 def test_smaller_payloads_are_all_responses(spark, tables):
     given = [(1, "a", "tiny"), (2, "b", "tiny"), (3, "c", "long enough"), (4, "d", "long enough")]
     pages = table(spark, tables(pages=(given, PAGES)), "pages")
-    got = {r.page_id: r.record_type for r in warc.read_archives(spark, warc.write_archives(pages, scratch(spark, "w"), min_bytes=5)).collect()}
+    got = {r.page_id: r.record_type for r in warc.read_archives(warc.write_archives(pages, scratch(spark, "w"), min_bytes=5)).collect()}
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
