@@ -11,11 +11,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
+#: What a Python worker gets at once, where the session says nothing else: both sides hold some batches in memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add the package as a zip to the session's Python files, once for each application."""
+    """Add the package as a zip to the session's Python files, once for each application, and bound its Arrow batches."""
     sc = spark.sparkContext
+    for name, value in BATCHES.items():
+        if name not in spark.conf.getAll:
+            spark.conf.set(name, value)
     if sc.applicationId not in _SENT:
         root = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
