@@ -194,7 +194,6 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
                     "decoded_sha256": [sha(bpe.decode(p.tolist()).encode("utf-8")).hexdigest() for p in parts],
                 }
             )
-        encode.forget()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -195,7 +195,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crcs, pa.int64()), "part": pa.array(np.full(len(row), part)), "rank": pa.array(rank)}
             )
-        encode.forget()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rank long")
 

@@ -114,7 +114,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                     yield flush()
         if doc_ids:
             yield flush()
-        encode.forget()
 
     keys = ["doc_id", "tie", "place"]
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place")).repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")

@@ -94,15 +94,10 @@ class WordRules:
 class ChunkEncoder:
     """Ids of texts; `encode_many` gives the ids of distinct chunks.  The cache restarts after `limit` chunks or `chars` characters and ids."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 150_000, chars: int = 4 << 20):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = 200_000, chars: int = 6 << 20):
         self.encode_many, self.limit, self.chars = encode_many, limit, chars
         self._restart()
 
-    def forget(self) -> None:
-        """Empty the caches, at a task's end."""
-        self._restart()
-        getattr(self.encode_many, "forget", lambda: None)()
-
     def _restart(self) -> None:
         self.slot: dict[str, int] = {}
         self.held = 0
@@ -145,7 +140,7 @@ class ChunkEncoder:
         return ids, after[ends - ends[0]]
 
 
-def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 100_000, chars: int = 2 << 20) -> Callable[[list[str]], list[list[int]]]:
+def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int]]], limit: int = 150_000, chars: int = 3 << 20) -> Callable[[list[str]], list[list[int]]]:
     """Chunk ids from word ids, with a cache of words that restarts after `limit` words or `chars` characters."""
     known: dict[str, list[int]] = {}
     held = 0
@@ -161,12 +156,6 @@ def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int
         known.update(zip(new, encode_words(new), strict=True))
         return [known[ws[0]] if len(ws) == 1 and ws[0].__class__ is str else [x for w in ws for x in (known[w] if w.__class__ is str else (w,))] for ws in split]
 
-    def forget() -> None:
-        nonlocal held
-        known.clear()
-        held = 0
-
-    encode_many.forget = forget
     return encode_many
 
 
@@ -174,7 +163,7 @@ _MADE: dict[str, ChunkEncoder] = {}
 
 
 def library_encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker for a file of the tokenizers library, without special tokens, truncation and padding.
+    """One encoder a worker, which later tasks find with its caches, for a file of the tokenizers library, without special tokens, truncation and padding.
 
     The library's own model merges each distinct word; a file whose normalizer or word pattern
     is not one of those that WordRules knows goes through the library's encode for each chunk.
