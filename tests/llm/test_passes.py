@@ -52,3 +52,17 @@ def test_tree_passes_find_the_same_pairs(spark, monkeypatch):
     assert {tuple(r) for r in ngram_join.tree_pairs(posts, sigs).collect()} == whole
     assert whole == {(i, j) for i in range(30) for j in range(i + 1, 30) if i % 5 == j % 5}
     assert names.count("tree-pairs") > 2
+
+
+def test_rows_of_files_are_not_written_once_more(spark, tables, monkeypatch):
+    d = tables(documents=(near_copies() + [doc(None, prose(0, 80)), doc(3, None), doc(3, None)], DOCS))
+    docs = table(spark, d, "documents")
+    names = recorded(monkeypatch)
+    kept = sorted(map(str, ngram_join.keep_first(docs).collect()))
+    assert "numbered" not in names
+    assert kept == sorted(map(str, ngram_join.keep_first(docs.where("true or rand() > 2").limit(1000)).collect()))
+    assert "numbered" in names
+    n = ngram_join.numbered(docs, "at")
+    assert n.columns == [*docs.columns, "at"] and n.select("at").distinct().count() == docs.count()
+    clash = docs.withColumnRenamed("source", "_metadata")
+    assert sorted(ngram_join.numbered(clash, "at").columns) == sorted([*clash.columns, "at"])
