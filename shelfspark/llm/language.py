@@ -40,8 +40,9 @@ FOLDS, HELD = 4, 2
 #: Texts whose features stand in memory at once: their rows are 2**BITS floats wide.
 ROWS = 256
 ROUNDS, PENALTY, SLOPE = 150, 1e-4, 4.0
-#: `least_sure` takes this quantile of held-out rows, and this share of it, so that learned languages stay.
-QUANTILE, SHARE = 0.005, 0.8
+#: `least_sure` takes this quantile of held-out rows, and this share of it, so that learned languages stay; values count by
+#: such steps from 0 to 1.
+QUANTILE, SHARE, STEPS = 0.005, 0.8, 1 << 16
 UNKNOWN = "und"
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -166,17 +167,26 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     return LanguageModel(X, langs)
 
 
-def least_sure(docs: DataFrame, model: LanguageModel | None, sample: int = SAMPLE) -> tuple[float, float]:
+def least_sure(docs: DataFrame, model: LanguageModel | None) -> tuple[float, float]:
     """(lang_score, lang_fit) that held-out rows predicted right hardly ever fall below; zeros where there are none.
 
     A score has a floor that the number of languages sets, and one learned language scores 1 always, so no fixed
-    value tells an unlearned language. Driver memory: two numbers of at most 2 * MOST_ROWS rows.
+    value tells an unlearned language. All held-out rows with a language count, by steps of 1 / STEPS. Driver memory:
+    at most STEPS + 1 counts for each of the two.
     """
-    right = predict_language(labelled(docs, True, sample), model).where("lang_pred = lang").select("lang_score", "lang_fit").collect()
-    if not right:
+    held = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(FOLDS) == HELD)).select("text", "lang")
+    right = predict_language(held, model).where("lang_pred = lang")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * STEPS).alias("step")) for k, c in enumerate(("lang_score", "lang_fit"))))).alias("x")
+    counts = right.select(kinds).groupBy("x.kind", "x.step").count().collect()
+    if not counts:
         return 0.0, 0.0
-    score, fit = SHARE * np.quantile(np.array(right, float), QUANTILE, axis=0)
-    return float(score), float(fit)
+    return tuple(SHARE * _low(sorted((r.step, r["count"]) for r in counts if r.kind == k)) / STEPS for k in (0, 1))
+
+
+def _low(counts: list[tuple[int, int]]) -> int:
+    """The step that holds the QUANTILE of all rows."""
+    ends = np.cumsum([n for _, n in counts])
+    return counts[int(np.searchsorted(ends, QUANTILE * (ends[-1] - 1), side="right"))][0]
 
 
 def predict_language(docs: DataFrame, model: LanguageModel | None, added: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_fit")) -> DataFrame:

@@ -66,3 +66,15 @@ def test_rows_of_files_are_not_written_once_more(spark, tables, monkeypatch):
     assert n.columns == [*docs.columns, "at"] and n.select("at").distinct().count() == docs.count()
     clash = docs.withColumnRenamed("source", "_metadata")
     assert sorted(ngram_join.numbered(clash, "at").columns) == sorted([*clash.columns, "at"])
+
+
+def test_thresholds_come_from_all_held_out_rows(spark, tables):
+    rows = [doc(i, (prose(i, 12) if i % 2 else "".join(chr(0x430 + ord(c) % 32) if c.isalpha() else c for c in prose(i, 12))), "en" if i % 2 else "ru") for i in range(3000)]
+    docs = table(spark, tables(documents=(rows, DOCS)), "documents")
+    model = language.learn(docs)
+    held = docs.where(language.remainder(4) == 2)
+    right = language.predict_language(held, model).where("lang_pred = lang").select("lang_score", "lang_fit").toPandas()
+    assert len(right) > 2 * language.SAMPLE  # more rows than a sample of the two languages holds
+    for got, c in zip(language.least_sure(docs, model), ("lang_score", "lang_fit"), strict=True):
+        exact = language.SHARE * np.quantile(right[c], language.QUANTILE, method="lower")
+        assert got == pytest.approx(exact, abs=1.01 / language.STEPS)
