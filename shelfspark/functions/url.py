@@ -6,13 +6,18 @@ import re
 from urllib.parse import parse_qs, parse_qsl, urlencode, urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns worked out once a row: as a generator's output they are not copied into every filter and column that reads them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def scheme(u: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(u, F.lit("")), _PARTS, 1))
 
@@ -90,9 +95,9 @@ def looks_like_product(u: str) -> bool:
     return rest != "" and "/" not in rest and (low.endswith(".html") or coded)
 
 
-def is_listed_product_url(u: Column, base: Column) -> Column:
-    """Whether a URL on the same host, other than the page's own, has a product page's part and none of another page."""
-    key = F.lower(url_key(u))
+def is_listed_product_url(u: Column, base: Column, key: Column | None = None) -> Column:
+    """Whether a URL on the same host, other than the page's own, has a product page's part and none of another page; `key` is its `url_key`, if at hand."""
+    key = F.lower(key if key is not None else url_key(u))
     return same_host(u, base) & (key != F.lower(url_key(base))) & ~holds_any(key, OTHER_PAGES) & holds_any(key, PRODUCT_HINTS)
 
 

@@ -137,9 +137,11 @@ def markdown_cards(payloads: DataFrame) -> DataFrame:
     A card's name is the heading that links to the same URL, else the image's text, else the URL's words.
     """
     cut = F.split(F.regexp_replace("body", _CARD, "\u0001$1\u0002$2\u0002$3\u0002"), "\u0001")
-    cards = payloads.select("page_id", "url", F.posexplode(F.slice(cut, F.lit(2), F.greatest(F.size(cut), F.lit(0)))).alias("ord", "card")).withColumn("p", F.split("card", "\u0002"))
+    cards = payloads.select("page_id", "url", F.posexplode(F.slice(cut, F.lit(2), F.greatest(F.size(cut), F.lit(0)))).alias("ord", "card"))
+    cards = url.once(cards, p=F.split("card", "\u0002"))
     cards = cards.select("page_id", "url", "ord", F.trim(F.get("p", 0)).alias("alt"), F.trim(F.get("p", 1)).alias("image"), F.trim(F.get("p", 2)).alias("href"), F.coalesce(F.get("p", 3), F.lit("")).alias("rest"))
-    cards = cards.select("page_id", "url", "ord", "alt", "rest", url.absolute_url("image", "url").alias("image_url"), url.absolute_url("href", "url").alias("product_url")).withColumn("key", url.url_key(F.col("product_url")))
+    cards = cards.select("page_id", "url", "ord", "alt", "rest", url.absolute_url("image", "url").alias("image_url"), url.absolute_url("href", "url").alias("product_url"))
+    cards = url.once(cards, key=url.url_key(F.col("product_url")))
     allowed = url.same_host(F.col("product_url"), F.col("url")) & (F.lower("key") != F.lower(url.url_key(F.col("url")))) & ~url.holds_any(F.lower("key"), url.OTHER_PAGES)
     heads = payloads.select("page_id", "url", F.explode(F.regexp_extract_all("body", F.lit(r"(?m)^(#{1,6}\s+\[[^\]]+\]\([^)]+\))"), F.lit(1))).alias("h"))
     heads = heads.select("page_id", url.url_key(url.absolute_url(F.regexp_extract("h", r"\(([^)]+)\)$", 1), F.col("url"))).alias("key"), text.clean_markdown(F.regexp_extract("h", r"\[([^\]]+)\]", 1)).alias("heading")).groupBy("page_id", "key").agg(F.max("heading").alias("heading"))
@@ -154,8 +156,8 @@ def link_rows(payloads: DataFrame) -> DataFrame:
     """Rows of links (page_id, url, links: array of text) that look like product pages; the name comes from the URL."""
     each = payloads.select("page_id", "url", F.posexplode("links").alias("ord", "href")).where(~F.lower("href").rlike(r"^(mailto:|tel:|javascript:|#)"))
     each = each.select("page_id", "url", "ord", url.absolute_url("href", "url").alias("product_url"))
-    each = each.where(url.is_listed_product_url(F.col("product_url"), F.col("url")))
-    rows = each.select("page_id", "ord", url.name_from_url(F.col("product_url")).alias("product_name"), "product_url", F.concat_ws(" ", "page_id", url.url_key(F.col("product_url"))).alias("_k"))
+    each = url.once(each, key=url.url_key(F.col("product_url"))).where(url.is_listed_product_url(F.col("product_url"), F.col("url"), F.col("key")))
+    rows = each.select("page_id", "ord", url.name_from_url(F.col("product_url")).alias("product_name"), "product_url", F.concat_ws(" ", "page_id", "key").alias("_k"))
     return first_of_each(rows.withColumn("at", F.struct("page_id", "ord")), F.col("_k"), "at").drop("_k", "at")
 
 
