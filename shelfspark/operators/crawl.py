@@ -57,7 +57,7 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
         raise RuntimeError("a crawl writes its steps to the folder that spark.checkpoint.dir names")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")  # pages compress well: the size of the files tells little
 
 
 def visits(starts: DataFrame, pages: DataFrame, most: int | None = MOST_PAGES) -> DataFrame:

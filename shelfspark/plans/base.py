@@ -51,6 +51,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each core that `dealt` spreads rows over.
+TASKS_A_CORE = 4
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` spread over the cluster by a key, before each is made into a page or a payload.
+
+    A few MB of a compressed file hold a million rows: its few tasks would do all the work, and its size on disk tells
+    nothing of what is made of it, so no join takes it (or what comes of it) for small enough to be broadcast.
+    """
+    return rows.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism, key).hint("merge")
+
+
 def rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """catalog, feed or detail; only the columns that a plan uses are read."""
     source, columns = _FROM[kind]

@@ -15,7 +15,7 @@ from ..functions import ids, money, scoring, text, url
 from ..operators import cards, crawl, detail, detail_page, enrichment, evidence, layouts, merge, pages, payloads, structured, targets
 from ..sources import feeds
 from ..sources import nodes as dom
-from .base import load
+from .base import dealt, load
 from .queries import query
 
 SITE, LIST = "https://s.example", "https://s.example/list"
@@ -27,7 +27,7 @@ CODE = "CASE k % 4 WHEN 0 THEN '012345678905' WHEN 1 THEN '4006381333931' WHEN 2
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").selectExpr(*_COLUMNS)
+    return dealt(load(spark, sf_dir, "part").selectExpr(*_COLUMNS), "k")
 
 
 def of(template: str) -> str:

@@ -16,7 +16,7 @@ from ..operators import detail as detail_ops
 from ..operators import payloads, structured
 from ..sources import feeds
 from ..sources import nodes as dom
-from .base import load, values
+from .base import dealt, load, values
 from .queries import query
 
 BASE = "https://shop.example/list"
@@ -306,4 +306,4 @@ _FROM_PART = {
 for _name, _plan in _OVER_PAGES.items():
     query(_name)(lambda spark, sf_dir, plan=_plan: plan(*_whole(spark, sf_dir)))
 for _name, (_columns, _plan) in _FROM_PART.items():
-    query(_name)(lambda spark, sf_dir, columns=_columns, plan=_plan: plan(_select(spark, load(spark, sf_dir, "part"), columns)))
+    query(_name)(lambda spark, sf_dir, columns=_columns, plan=_plan: plan(_select(spark, dealt(load(spark, sf_dir, "part"), "p_partkey"), columns)))
