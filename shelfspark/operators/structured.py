@@ -6,28 +6,19 @@ import json
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dom import Page, per_page
 from ..sources.nodes import attr
 from .merge import first_tier
 
 FIELDS = ["product_name", "brand", "sku", "upc", "price", "image_url", "product_url"]
-ROWS = "page_id long, ord struct<pre:int,k:int>, " + ", ".join(f"{f} string" for f in FIELDS)
-_NAMES = ["page_id", "ord", *FIELDS]
-_KINDS = [pa.int64(), pa.struct([("pre", pa.int32()), ("k", pa.int32())]), *[pa.string()] * len(FIELDS)]
 # Where an identifier may stand in a JSON-LD product, first to last.
 FLAT_IDS = ["gtin12", "gtin13", "gtin"]
 JSONLD_IDS = ["gtin12", "gtin13", "gtin8", "gtin", "gtin14", "productID"]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [list(c) for c in zip(*rows, strict=True)]
-    columns[1] = [{"pre": pre, "k": k} for pre, k in columns[1]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
-
-
 def _one(x):
     """The first of a list, else the value."""
     return x[0] if isinstance(x, list) and x else x
@@ -67,30 +58,28 @@ def jsonld_row(item: dict, base: str, ids: list[str] = JSONLD_IDS) -> list[str]
     ]
 
 
-def jsonld(pages: DataFrame, nodes: DataFrame, nested: bool = True) -> DataFrame:
-    """Product rows of all JSON-LD scripts; only script nodes reach Python.
+def jsonld(pages: DataFrame, nodes: DataFrame | None = None, nested: bool = True) -> DataFrame:
+    """Product rows of all JSON-LD scripts, numbered by script and place within their page.
 
+    A page's scripts are read in one pass over the pages, which gives the rows their numbers and URLs without a join;
+    `nodes` stands for the signature that the kinds of structured data share.
     Without `nested` lists count at the top and in a graph only, and fewer keys hold an identifier.
     """
     ids = JSONLD_IDS if nested else FLAT_IDS
-    scripts = nodes.where((F.col("tag") == "script") & (F.lower(attr("type")) == "application/ld+json")).select("page_id", "pre", "own_text").join(pages.select("page_id", "url"), "page_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for page, pre, source, url in zip(*(b.column(c).to_pylist() for c in ("page_id", "pre", "own_text", "url")), strict=True):
+    def rows_of(page: Page, url: str) -> Iterator[tuple]:
+        k = 0
+        for i in page.all("script"):
+            if page.nodes[i]["attrs"].get("type", "").lower() == "application/ld+json":
                 try:
-                    value = json.loads(source or "")
-                    found = [r for x in jsonld_products(value, nested) if (r := jsonld_row(x, url or "", ids))]
+                    found = [r for x in jsonld_products(json.loads(page.source(i)), nested) if (r := jsonld_row(x, url, ids))]
                 except (ValueError, RecursionError):
                     continue
-                rows += [(page, (pre, k), *r) for k, r in enumerate(found)]
-            if rows:
-                yield _batch(rows)
+                for r in found:
+                    yield k, *r
+                    k += 1
 
-    found = scripts.mapInArrow(run, ROWS)
-    # numbers of a page's rows, by script and place: no script, however long, runs into the next
-    return found.withColumn("ord", F.row_number().over(Window.partitionBy("page_id").orderBy("ord")) - 1)
+    return per_page(pages, "ord int, " + ", ".join(f"{f} string" for f in FIELDS), rows_of)
 
 
 def _value() -> Column:

@@ -5,7 +5,9 @@ A node's descendants are the nodes of its page with `pre` above its own and `pos
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -72,14 +74,57 @@ class _Tree(HTMLParser):
                 self.pieces.append(said)
 
 
+# Plain markup, which needs no tolerant parser: text, end tags, start tags whose values are quoted, a doctype, comments.
+_PLAIN = re.compile(
+    r"""([^<]++)|</([a-zA-Z][a-zA-Z0-9-]*+)>|<([a-zA-Z][a-zA-Z0-9-]*+)((?:[ \n]++[a-zA-Z][a-zA-Z0-9_:-]*+(?:="[^"]*+"|='[^']*+')?+)*+)[ \n]*+(/?+)>|<!(?i:doctype)[^<>\[]*+>|<!--[^<>-]*+-->"""
+)
+_ATTR = re.compile(r"""([a-zA-Z][a-zA-Z0-9_:-]*+)(?:=(?:"([^"]*+)"|'([^']*+)'))?+""")
+_ENDS = {tag: re.compile(f"</{tag}>", re.I) for tag in ("script", "style")}
+
+
+def _plain(html: str) -> _Tree | None:
+    """The tree of a page that is plain markup throughout, as the tolerant parser builds it; None for any other page."""
+    tree, at, n = _Tree(), 0, len(html)
+    token = _PLAIN.match
+    while at < n:
+        m = token(html, at)
+        if m is None:
+            return None
+        at = m.end()
+        said, ended, tag, attrs, closed = m.groups()
+        if said:
+            tree.handle_data(unescape(said) if "&" in said else said)
+        elif ended:
+            tree.handle_endtag(ended.lower())
+        elif tag:
+            tag = tag.lower()
+            found = [(k.lower(), unescape(v) if "&" in v else v) for k, a, b in _ATTR.findall(attrs) for v in (a or b,)] if attrs else []
+            if closed:
+                tree.handle_startendtag(tag, found)
+                continue
+            tree.handle_starttag(tag, found)
+            if tag in _ENDS:
+                end = _ENDS[tag].search(html, at)
+                source = html[at : end.start()] if end else "<"
+                if "</" in source or "<!" in source or source == "<":
+                    return None
+                if source:
+                    tree.handle_data(source)
+                tree.handle_endtag(tag)
+                at = end.end()
+    return tree
+
+
 def parse(html: str) -> tuple[list[dict], list[str]]:
     """Nodes in document order and the pieces of visible text; unclosed elements end with the page.
 
     A node's `said` is its range of pieces, `end` the number of the node after its last descendant.
     """
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
+    tree = _plain(html or "")
+    if tree is None:
+        tree = _Tree()
+        tree.feed(html)
+        tree.close()
     tree._close_to(0)
     for i, n in enumerate(tree.nodes):
         n["id"] = i
@@ -87,7 +132,7 @@ def parse(html: str) -> tuple[list[dict], list[str]]:
     return tree.nodes, tree.pieces
 
 
-#: Text of nodes that is put into one batch: an ancestor's text holds that of all below it.
+#: Text of nodes that is put into one batch, and nodes, of one page or several: an ancestor's text holds that of all below it.
 BATCH_CHARS, BATCH_NODES = 4 << 20, 4096
 
 
@@ -97,19 +142,20 @@ def nodes(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        rows, held = [], 0
         for b in batches:
             for page, html in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
-                rows, held = [], 0
                 found, pieces = parse(html)
                 for n in found:
                     text = " ".join(pieces[slice(*n["said"])])
                     rows.append((page, n["id"], n["parent"], n["pre"], n["post"], n["depth"], n["tag"], list(n["attrs"].items()), n["attrs"].get("class", "").lower().split(), n["own_text"], text, n["n_children"]))
-                    held += len(text)
+                    held += len(text) + len(n["own_text"])
                     if held > BATCH_CHARS or len(rows) == BATCH_NODES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        yield pack(rows)
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        if rows:
+            yield pack(rows)
 
     return pages.select("page_id", "html").mapInArrow(run, SCHEMA)
 
