@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.url import page_urls, pagination, stable_sort
+from ..functions.url import page_variants, pagination, stable_sort
 from ..sources.dom import Page, host, per_page, resolve
 from .dedup import first_of_each
 from .targets import product_links
@@ -39,15 +41,17 @@ def next_candidates(page: Page, url: str) -> list[str]:
 
 
 def hops(pages: DataFrame) -> DataFrame:
-    """(url, page_id, candidates, total_products, total_pages): what each stored page says about the pages after it."""
+    """(url, page_id, candidates, total_products, total_pages): what each stored page says about the pages after it; further columns stay."""
 
-    def rows_of(page: Page, url: str) -> Iterator[tuple]:
+    def rows_of(page: Page, url: str, *kept) -> Iterator[tuple]:
         numbers = {int(t) for i in page.all("a", "button", "span", "li") if (t := page.text(i)).isdigit() and len(t) <= 5 and any(page.marked(k, PAGERS) for k in page.up(i))}
-        yield url, next_candidates(page, url), max(numbers) if len(numbers) >= 2 else None, page.text()
+        yield url, next_candidates(page, url), max(numbers) if len(numbers) >= 2 else None, page.text(), *kept
 
-    found = per_page(pages, "url string, candidates array<string>, highest int, said string", rows_of)
+    kept = tuple(c for c in pages.columns if c not in ("page_id", "url", "html"))
+    types = "".join(f", {c} {pages.schema[c].dataType.simpleString()}" for c in kept)
+    found = per_page(pages, f"url string, candidates array<string>, highest int, said string{types}", rows_of, kept)
     said = pagination(F.col("said"), F.col("highest"))
-    return found.select("page_id", "url", "candidates", said["total_products"].alias("total_products"), said["per_page"].alias("per_page"), said["total_pages"].alias("total_pages"))
+    return found.select("page_id", "url", "candidates", said["total_products"].alias("total_products"), said["per_page"].alias("per_page"), said["total_pages"].alias("total_pages"), *kept)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -60,43 +64,55 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).hint("merge")  # pages compress well: the size of the files tells little
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _numbered(url: pd.Series, target: pd.Series, per_page: pd.Series) -> pd.Series:
+    """`page_urls` of the URLs that aren't null."""
+    return pd.Series([None if u is None else page_variants(u, int(t), None if pd.isna(n) else int(n)) for u, t, n in zip(url, target, per_page, strict=True)], dtype=object)
+
+
 def visits(starts: DataFrame, pages: DataFrame, most: int | None = MOST_PAGES) -> DataFrame:
     """(crawl, page_num, url, page_id, stop_reason): the pages that each start (crawl, url) reaches, one after another.
 
     The next page is the first candidate not visited yet; without one, the page's number in the URL while fewer pages
     than the first one promises were seen. A page that isn't stored ends the crawl, and so does `most` (null: none).
     A collection that sorts unstably starts at its stable order, if that is stored. Each step joins the crawls' last
-    pages, a row each, with what the stored pages say; steps are written to the shared folder.
+    pages, a row each, with what the stored pages say, once; its rows are written to the shared folder.
     """
-    every = _stored(hops(pages), "hops")
-    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
-    began = starts.join(first, "url").select("crawl", "url", stable_sort(F.col("html"), F.col("url")).alias("stable"))
-    known = pages.select(F.col("url").alias("stable"), F.lit(True).alias("there")).distinct()
-    began = began.join(known, "stable", "left").select("crawl", F.when(F.col("there"), F.col("stable")).otherwise(F.col("url")).alias("url"))
-    one = every.groupBy("url").agg(F.min_by(F.struct("page_id", "candidates", "total_products", "per_page", "total_pages"), "page_id").alias("h"))
-    front = _stored(began.join(one, "url").select("crawl", "url", F.lit(1).alias("page_num"), F.array("url").alias("seen"), F.col("h.total_pages").alias("expected"), F.col("h.per_page").alias("per_page"), "h"), "front")
+    said = hops(pages.withColumn("stable", stable_sort(F.col("html"), F.col("url"))))
+    told = ["page_id", "candidates", "total_products", "per_page", "total_pages", "stable"]
+    # one row for each URL, and nothing of its page but what the steps use
+    one = _stored(said.groupBy("url").agg(F.min_by(F.struct(*told), "page_id").alias("h")), "hops")
+    began = _stored(starts.join(one, "url").select("crawl", "url", "h"), "starts")
+    there = one.select(F.col("url").alias("stable"), F.col("h").alias("there"))
+    moved = began.where("h.stable <> url").withColumn("stable", F.col("h.stable")).join(there, "stable", "left")
+    moved = moved.select("crawl", F.when(F.col("there").isNotNull(), F.col("stable")).otherwise(F.col("url")).alias("url"), F.coalesce("there", "h").alias("h"))
+    began = began.where("h.stable = url").unionByName(moved)
+    front = began.select("crawl", "url", F.lit(1).alias("page_num"), F.array("url").alias("seen"), F.col("h.total_pages").alias("expected"), F.col("h.per_page").alias("per_page"), "h")
     done: DataFrame | None = None
-    step = 1
-    while front.limit(1).count():
-        unseen = F.filter("h.candidates", lambda u: ~F.array_contains("seen", u))
-        guessed = F.filter(page_urls(F.col("url"), F.col("page_num") + 1, F.col("per_page")), lambda u: ~F.array_contains("seen", u))
-        more = F.col("expected").isNotNull() & (F.col("page_num") < F.col("expected"))
-        found = F.coalesce(F.get(unseen, 0), F.when(more, F.get(guessed, 0)))
+    step, more_to_see = 1, True
+    while more_to_see:
         capped = most is not None and step >= most
-        asked = _stored(front.withColumn("found", found).withColumn("next", F.lit(None).cast("string") if capped else F.col("found")), "asked")
-        reached = asked.where("next is not null").select("crawl", F.col("url").alias("from"), F.col("next").alias("url"), (F.col("page_num") + 1).alias("page_num"), F.concat("seen", F.array("next")).alias("seen"), "expected", "per_page").join(one, "url")
-        after = _stored(reached, "front")
-        gone = after.select("crawl", F.lit(True).alias("goes_on"))
+        unseen = F.get(F.filter("h.candidates", lambda u: ~F.array_contains("seen", u)), 0)
+        # only rows that need a number in their URL have one worked out
+        more = F.col("first").isNull() & F.col("expected").isNotNull() & (F.col("page_num") < F.col("expected"))
+        asked = front.withColumn("first", unseen)
+        guessed = F.filter(_numbered(F.when(more, F.col("url")), F.col("page_num") + 1, F.col("per_page")), lambda u: ~F.array_contains("seen", u))
+        asked = asked.withColumn("found", F.coalesce("first", F.when(more, F.get(guessed, 0)))).drop("first")
+        asked = asked.withColumn("next", F.lit(None).cast("string") if capped else F.col("found"))
+        # a step's table holds what its pages say and what the pages after them say: rows and the next step read it, and join nothing more
+        taken = asked.join(one.select(F.col("url").alias("next"), F.col("h").alias("after")), "next", "left") if not capped else asked.withColumn("after", F.lit(None).cast(one.schema["h"].dataType))
+        at = _stored(taken, "step")
         reason = (
-            F.when(F.col("goes_on"), F.lit(None).cast("string")).when(F.lit(capped) & F.col("found").isNotNull(), f"max page cap reached ({most})")
+            F.when(F.col("after").isNotNull(), F.lit(None).cast("string")).when(F.lit(capped) & F.col("found").isNotNull(), f"max page cap reached ({most})")
             .when(F.col("next").isNotNull(), F.concat(F.lit("page not stored: "), F.col("next"))).otherwise(exhausted_reason(F.col("expected"), F.col("page_num")))
         )
-        rows = asked.join(gone, "crawl", "left").select("crawl", "page_num", "url", F.col("h.page_id").alias("page_id"), reason.alias("stop_reason"), "expected")
+        rows = at.select("crawl", "page_num", "url", F.col("h.page_id").alias("page_id"), reason.alias("stop_reason"), "expected")
         done = rows if done is None else done.unionByName(rows)
-        front = after.select("crawl", "url", "page_num", "seen", "expected", "per_page", "h")
+        after = at.where("after is not null")
+        more_to_see = bool(after.limit(1).count())
+        front = after.select("crawl", F.col("next").alias("url"), (F.col("page_num") + 1).alias("page_num"), F.concat("seen", F.array("next")).alias("seen"), "expected", "per_page", F.col("after").alias("h"))
         step += 1
-    empty = pages.sparkSession.createDataFrame([], "crawl long, page_num int, url string, page_id long, stop_reason string, expected int")
-    return done if done is not None else empty
+    return done
 
 
 def exhausted_reason(expected: Column, page_num: Column) -> Column:
@@ -118,7 +134,8 @@ def enrichment_cap(total_products: Column, total_pages: Column, visited: Column,
 
 def crawl_products(visited: DataFrame, pages: DataFrame, extract: Callable[[DataFrame], DataFrame], keys: list[Column]) -> DataFrame:
     """The rows that `extract` gives for the visited pages, in crawl order, each key's first row of a crawl only."""
-    rows = extract(pages.join(visited.select("page_id").distinct(), "page_id", "left_semi"))
+    # neither side is ever broadcast: what a page gives can't be told from the size of its input
+    rows = extract(pages.join(visited.select("page_id").distinct().hint("merge"), "page_id", "left_semi")).hint("merge")
     placed = rows.join(visited.select("crawl", "page_num", "page_id"), "page_id").withColumn("ord", F.struct("crawl", "page_num", "ord"))
     for key in keys:  # a key counts within its crawl
         placed = first_of_each(placed, F.when(key != "", F.concat_ws(" ", F.col("crawl"), key)))

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfspark.operators import structured
+from shelfspark.operators import crawl, structured
 from shelfspark.sources import dom
 from shelfspark.sources import nodes as tree
 
@@ -55,3 +56,24 @@ def test_plain_markup_gives_the_tolerant_parsers_tree():
 @pytest.mark.parametrize(("href", "full"), [("/p/1", "https://s.example/p/1"), ("/p/../q", "https://s.example/q"), ("//h/x", "https://h/x"), ("/p?", "https://s.example/p"), ("/p?a=1#f", "https://s.example/p?a=1#f"), (" /a/./b ", "https://s.example/a/b"), ("x", "https://s.example/x")])
 def test_links_resolve_alike_with_and_without_general_rules(href, full):
     assert dom.resolve(U, href) == full
+
+
+def test_a_crawls_result_reads_stored_steps_and_joins_nothing(spark):
+    page = '<p>Items 1-2 of 6</p><link rel="next" href="?page=2">'
+    rows = [(1, "https://a.example/list", page), (2, "https://a.example/list?page=2", "x"), (3, "https://a.example/list?page=3", "y"), (4, "https://b.example/list", page), (9, "https://b.example/list", "later")]
+    stored = spark.createDataFrame(rows, "page_id long, url string, html string")
+    starts = spark.createDataFrame([(1, "https://a.example/list"), (2, "https://b.example/list"), (3, "https://c.example/none")], "crawl long, url string")
+    got = crawl.visits(starts, stored)
+    assert not any(x in plan_of(got) for x in ("Join", "Exchange", "MapInArrow"))
+    assert sorted((r.crawl, r.page_num, r.page_id, r.stop_reason) for r in got.collect()) == [
+        (1, 1, 1, None), (1, 2, 2, None), (1, 3, 3, "all 3 expected page(s) visited; no further navigation found"), (2, 1, 4, "page not stored: https://b.example/list?page=2"),
+    ]
+
+
+def test_rows_of_visited_pages_are_not_broadcast(spark):
+    stored = spark.createDataFrame([(k, f"{U}?page={k}", LD % (k, k)) for k in range(1, 4)], "page_id long, url string, html string")
+    visited = spark.createDataFrame([(1, k, k) for k in range(1, 4)], "crawl long, page_num int, page_id long")
+    visited = visited.unionByName(visited.where("page_id > 9"))
+    got = crawl.crawl_products(visited, stored, structured.jsonld, [F.col("product_url")])
+    assert "Broadcast" not in plan_of(got)
+    assert sorted((r.crawl, r.page_num, r.product_name) for r in got.collect()) == [(1, 1, "N1"), (1, 2, "N2"), (1, 3, "N3")]
