@@ -9,19 +9,23 @@ from .text import CATEGORY_PREFIXES, CATEGORY_SEPARATORS, TITLE_NOISE
 MONEY = re.compile(r"\$\s*\d[\d,]*(?:\.\d{2})?")
 
 
+_NOISE = [re.compile(p) for p in TITLE_NOISE]
+_SPACES, _COUNTED, _LAST_COUNT = re.compile(r"\s+"), re.compile(r"\d+\s*products?\b|\d+\s*items?\b"), re.compile(r"\(\d+\)\s*$")
+
+
 def squeeze(s: str | None) -> str:
     return " ".join((s or "").split())
 
 
 def clean_title(s: str) -> str:
-    for pattern in TITLE_NOISE:
-        s = re.sub(pattern, "", s)
-    return re.sub(r"\s+", " ", s).strip(" -|")
+    for pattern in _NOISE:
+        s = pattern.sub("", s)
+    return _SPACES.sub(" ", s).strip(" -|")
 
 
 def is_category_name(s: str) -> bool:
     low = s.strip().lower()
-    counted = re.search(r"\d+\s*products?\b|\d+\s*items?\b", low) or re.search(r"\(\d+\)\s*$", s.strip())
+    counted = _COUNTED.search(low) or _LAST_COUNT.search(s.strip())
     return bool(s) and (any(x in s for x in CATEGORY_SEPARATORS) or low.startswith(tuple(CATEGORY_PREFIXES)) or bool(counted))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plain import MONEY, clean_title, is_catalog_sku, is_category_name, squeeze
-from ..sources.dom import Page, host, leads, per_page, resolve
+from ..sources.dom import Page, host, kept, leads, per_page, resolve
 from ..sources.nodes import CHROME_TAGS, FRAME_LEVELS, FRAME_MARKS
 from .detail import FRAME_TEXTS, MAYBE_PATHS, OTHER_PATHS, PRODUCT_PATHS
 from .pages import CARD_MARKS
@@ -46,12 +46,20 @@ INTENT_STOPS = [
 LEAST_CARDS = 2
 
 
+_FRAME = re.compile("|".join(map(re.escape, FRAME_MARKS)))
+
+
+@kept
+def _frames(page: Page, k: int) -> bool:
+    return page.tag(k) in CHROME_TAGS or bool(_FRAME.search(f"{page.classes(k)} {page.attr(k, 'id').lower()}"))
+
+
 def in_frame(page: Page, i: int) -> bool:
     """Whether one of the next FRAME_LEVELS ancestors is part of the site's frame, by its tag, classes or id."""
     for level, k in enumerate(page.up(i)):
         if level == FRAME_LEVELS or page.tag(k) in ("body", "html"):
             return False
-        if page.tag(k) in CHROME_TAGS or any(m in f"{page.classes(k)} {page.attr(k, 'id').lower()}" for m in FRAME_MARKS):
+        if _frames(page, k):
             return True
     return False
 
@@ -63,17 +71,17 @@ def _links(page: Page, card: int) -> Iterator[tuple[int, str]]:
 
 def name_sources(page: Page, card: int) -> Iterator[str]:
     """Texts that may name a card, best first; some may be empty."""
-    if (k := page.find(card, lambda i: page.attr(i, "data-testid") == "itemDescription")) is not None:
+    for k in [k for k in page.having("data-testid", card) if page.attr(k, "data-testid") == "itemDescription"][:1]:
         yield clean_title(page.text(k, ""))
     for tag in ("h1", "h2", "h3", "h4", "h5"):
-        if (k := page.find(card, lambda i, t=tag: page.tag(i) == t)) is not None:
+        for k in page.all(tag, inside=card)[:1]:
             yield clean_title(page.text(k, ""))
     if (k := page.find(card, lambda i: page.tag(i) not in ("script", "style") and page.marked(i, NAME_MARKS))) is not None:
         yield clean_title(page.text(k, ""))
     said = [clean_title(page.text(a, "")) for a, h in _links(page, card) if leads(h) and not any(x in h.lower() for x in OTHER_LINKS)]
     yield max(((len(t), t) for t in said if len(t) >= 8 and not is_category_name(t)), default=(0, ""))[1]
     for attr in NAME_ATTRS:
-        holders = [card, *[k for k in page.below(card) if page.has(k, attr)][:3]]
+        holders = [card, *page.having(attr, card)[:3]]
         yield next((clean_title(v) for k in holders if len(v := page.nodes[k]["attrs"].get(attr, "")) >= 5), "")
     alts = (page.attr(k, "alt") for k in page.all("img", inside=card)[:5])
     yield next((clean_title(a) for a in alts if len(a) >= 8 and not a.lower().startswith(("icon", "logo", "arrow", "btn", "button"))), "")
@@ -83,6 +91,7 @@ def name_sources(page: Page, card: int) -> Iterator[str]:
     yield page.attr(card, "title")
 
 
+@kept
 def name_of(page: Page, card: int) -> str:
     return next((t for t in name_sources(page, card) if t), "")
 
@@ -158,7 +167,7 @@ def strict_price_of(page: Page, card: int) -> str:
 def sku_of(page: Page, card: int) -> str:
     """An item number: data attributes, then what a label in the text announces, then an element that a class calls one."""
     for attr in SKU_ATTRS:
-        if v := next((page.attr(k, attr) for k in (card, *page.below(card)) if page.attr(k, attr)), ""):
+        if v := next((v for k in (card, *page.having(attr, card)) if (v := page.attr(k, attr))), ""):
             return v.upper()
     text = page.text(card)
     if m := next((m for p in SKU_TEXTS if (m := re.search(p, text, re.I))), None):
@@ -215,9 +224,10 @@ def overlap(text: str, terms: set[str]) -> int:
     return len(terms & set(re.findall(r"[a-z0-9]{4,}", text.lower().replace("-", " "))))
 
 
+@kept
 def meaning_of(page: Page, i: int) -> str:
     """The texts and targets of an element that tell what it is about."""
-    told = [page.text(k, "") for k in page.below(i) if page.attr(k, "data-testid") == "itemDescription"][:6]
+    told = [page.text(k, "") for k in page.having("data-testid", i) if page.attr(k, "data-testid") == "itemDescription"][:6]
     return " ".join(filter(None, told + [x for a, h in list(_links(page, i))[:12] for x in (page.text(a, ""), h)]))
 
 
@@ -255,6 +265,9 @@ class Shape:
         )
 
 
+shape_of = kept(Shape)
+
+
 def _weight(shared: int, each: int, most: int) -> int:
     return -10 if shared == 0 else -4 if shared == 1 else min(each * shared, most)
 
@@ -288,7 +301,7 @@ def cards_of(page: Page, url: str) -> list[int]:
     ranked = []
     for group in groups.values():
         if len(group) >= LEAST_CARDS:
-            shape, about, fits = Shape(page, group[0]), meaning_of(page, group[0]), names_weight(page, group, terms)
+            shape, about, fits = shape_of(page, group[0]), meaning_of(page, group[0]), names_weight(page, group, terms)
             shared = overlap(about, terms) if terms else 0
             points = shape.points() + (_weight(shared, 3, 9) if terms else 0)
             ranked.append(((points + fits, fits, shared, shared, shape.strong, shape.images, shape.priced, -shape.utility, -shape.children, len(group)), group))
@@ -297,7 +310,7 @@ def cards_of(page: Page, url: str) -> list[int]:
     ranked.sort(key=lambda x: x[0], reverse=True)
     second: list[int] = []
     for _, group in ranked:
-        good = [i for i in group if (s := Shape(page, i)).plausible() and (not terms or overlap(meaning_of(page, i), terms) or s.priced and (s.images or s.coded))]
+        good = [i for i in group if (s := shape_of(page, i)).plausible() and (not terms or overlap(meaning_of(page, i), terms) or s.priced and (s.images or s.coded))]
         if len(good) >= LEAST_CARDS:
             if not terms or names_weight(page, good, terms) >= 0:
                 return good

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import crawl, structured
+from shelfspark.operators import cards, crawl, structured
 from shelfspark.sources import dom
 from shelfspark.sources import nodes as tree
 
@@ -77,3 +77,13 @@ def test_rows_of_visited_pages_are_not_broadcast(spark):
     got = crawl.crawl_products(visited, stored, structured.jsonld, [F.col("product_url")])
     assert "Broadcast" not in plan_of(got)
     assert sorted((r.crawl, r.page_num, r.product_name) for r in got.collect()) == [(1, 1, "N1"), (1, 2, "N2"), (1, 3, "N3")]
+
+
+def test_a_cards_name_and_shape_are_worked_out_once(monkeypatch):
+    card = '<div class="product-card"><img src="/i/%d.jpg"><h3>Nice bowl number %d</h3><span class="price">$%d.00</span><a href="/p/%d-bowl">see it</a><p>in stock now</p></div>'
+    page = dom.Page("<title>Nice bowl</title>" + "".join(card % (k, k, k, k) for k in range(1, 5)))
+    calls, sources = [], cards.name_sources
+    monkeypatch.setattr(cards, "name_sources", lambda p, i: calls.append(i) or sources(p, i))
+    found = cards.cards_of(page, U)
+    assert [cards.name_of(page, i) for i in found] == [f"Nice bowl number {k}" for k in range(1, 5)]
+    assert len(calls) == len(set(calls)) == 4
