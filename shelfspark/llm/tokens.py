@@ -4,6 +4,8 @@ Every rule of the supported tokenizers works inside a run of characters without
 ASCII white space, so a text's ids are the ids of its chunks in a row.  A worker
 therefore splits a whole batch in C++, dictionary-encodes the chunks and looks at
 each distinct chunk once; words met before come from a cache of bounded size.
+Where the file's rules are known, the distinct chunks of a batch go through them as one
+text, and the library merges the new words of a part in one call.
 """
 
 from __future__ import annotations
@@ -57,10 +59,13 @@ class WordRules:
             return
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.word = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.word, self.word_or_line = regex.compile(pattern), regex.compile(rf"{pattern}|\n")
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): letters[b] for b in range(128) if letters[b] != chr(b)})
         self.wide = str.maketrans({chr(b): letters[b] for b in range(256) if letters[b] != chr(b)})
+        self.points = np.array([ord(x) for x in letters], "<u4")
+        self.points[10] = 10
 
     def _newer(self, part: str) -> list[str]:
         """For characters younger than Python's tables: the library's own steps before its merges."""
@@ -90,6 +95,86 @@ class WordRules:
                 out += [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.wide) for w in self.word.findall(low)]
         return out
 
+    def words_of_all(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
+        """(distinct words, not in byte letters yet; the number of each word of all chunks in a row; how many each chunk has;
+        chunks that are for `words` and have none here). The chunks are one text of a line each: no rule looks beyond a line's end."""
+        text, odd = "\n".join(chunks), []
+        young = {c for c in set(text) if unicodedata.category(c) == "Cn"}
+        if young or any(x in text for x in self.added):
+            odd = [i for i, c in enumerate(chunks) if not young.isdisjoint(c) or any(x in c for x in self.added)]
+            others = list(chunks)
+            for i in odd:
+                others[i] = ""
+            text = "\n".join(others)
+        low = "\u03c3".join(map(str.lower, unicodedata.normalize("NFC", text).split("\u03a3")))  # no final sigma
+        coded = pa.array(["\n", *self.word_or_line.findall(low), "\n"], pa.large_string()).dictionary_encode()  # a line's end is number 0
+        codes = coded.indices.to_numpy()
+        ends = np.flatnonzero(codes == 0)
+        return coded.dictionary[1:].to_numpy(zero_copy_only=False).tolist(), codes[codes > 0] - 1, np.diff(ends) - 1, odd
+
+    def in_letters(self, words: list[str]) -> list[str]:
+        """Words in byte letters."""
+        data = np.frombuffer("\n".join(words).encode("utf-8"), np.uint8)
+        return self.points[data].tobytes().decode("utf-32-le").split("\n") if words else []
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces of `flat` in a row, where each starts; one more entry for the end)."""
+    after = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    return flat[np.repeat(start - after[:-1], size) + np.arange(after[-1])], after
+
+
+class WordEncoder:
+    """Ids of texts by `merge`, which gives the ids of words in a row and how many each has.  The cache restarts after `limit` words or `chars` characters and ids."""
+
+    PART = 50_000
+
+    def __init__(self, rules: WordRules, merge: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000, chars: int = 6 << 20):
+        self.rules, self.merge, self.limit, self.chars = rules, merge, limit, chars
+        self._restart()
+
+    def _restart(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.held = 0
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _slots(self, words: list[str]) -> np.ndarray:
+        """Where the words stand in the cache, those that are new at its end."""
+        if len(self.slot) > self.limit or self.held > self.chars:
+            self._restart()
+        new = [w for w in words if w not in self.slot]
+        ids, sizes = self.merge(self.rules.in_letters(new))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, sizes])
+        self.held += len(ids) + sum(map(len, new))
+        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new)), strict=True))
+        return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks in a row, how many each has)."""
+        words, codes, counts, odd = self.rules.words_of_all(chunks)
+        slots = self._slots(words)[codes]
+        ids, after = gathered(self.flat, self.start[slots], self.size[slots])
+        at = after[np.concatenate([[0], np.cumsum(counts)])]
+        sizes = np.diff(at)
+        if odd:
+            own = [[x for w in self.rules.words(chunks[i]) for x in ([w] if isinstance(w, int) else self.merge([w])[0].tolist())] for i in odd]
+            sizes[odd] = list(map(len, own))
+            ids = np.insert(ids, np.repeat(at[odd], sizes[odd]), np.array([x for xs in own for x in xs], np.uint32))
+        return ids, sizes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text starts; one more entry for the end). A null text is empty."""
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends = chunks.offsets.to_numpy()
+        coded = chunks.flatten().dictionary_encode()
+        parts = [self._ids(coded.dictionary.slice(a, self.PART).to_numpy(zero_copy_only=False).tolist()) for a in range(0, len(coded.dictionary), self.PART)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in parts)])
+        size = np.concatenate([np.zeros(0, np.int64), *(sizes for _, sizes in parts)])
+        start, codes = np.cumsum(size) - size, coded.indices.to_numpy()
+        ids, after = gathered(flat, start[codes], size[codes])
+        return ids, after[ends - ends[0]]
+
 
 class ChunkEncoder:
     """Ids of texts; `encode_many` gives the ids of distinct chunks.  The cache restarts after `limit` chunks or `chars` characters and ids."""
@@ -159,13 +244,43 @@ def by_words(rules: WordRules, encode_words: Callable[[list[str]], list[list[int
     return encode_many
 
 
-_MADE: dict[str, ChunkEncoder] = {}
+def merged_by(tok) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """(ids of words in byte letters in a row, how many each has), by the model of a tokenizer of the library.
+
+    Some words are one call; which id ends a word is told by the model's suffix. Where that doesn't hold, words go one by one.
+    """
+    from tokenizers import Tokenizer
+
+    model, bare = tok.model, Tokenizer(tok.model)
+    suffix = model.end_of_word_suffix
+    vocabulary = bare.get_vocab()
+    closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    closing[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+    del vocabulary
+
+    def merge(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            got = np.array(bare.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(closing[got]) + 1
+            if len(ends) != len(part) or ends[-1] != len(got):
+                each = [[t.id for t in model.tokenize(w)] for w in part]
+                got, ends = np.array([x for xs in each for x in xs], np.uint32), np.cumsum(list(map(len, each)))
+            ids.append(got)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    return merge
+
+
+_MADE: dict[str, WordEncoder | ChunkEncoder] = {}
 
 
-def library_encoder(path: str) -> ChunkEncoder:
+def library_encoder(path: str) -> WordEncoder | ChunkEncoder:
     """One encoder a worker, which later tasks find with its caches, for a file of the tokenizers library, without special tokens, truncation and padding.
 
-    The library's own model merges each distinct word; a file whose normalizer or word pattern
+    The library's own model merges the distinct words; a file whose normalizer or word pattern
     is not one of those that WordRules knows goes through the library's encode for each chunk.
     """
     if path not in _MADE:
@@ -176,8 +291,7 @@ def library_encoder(path: str) -> ChunkEncoder:
         tok.no_truncation()
         tok.no_padding()
         if rules.supported:
-            merge = tok.model.tokenize
-            _MADE[path] = ChunkEncoder(by_words(rules, lambda words: [[t.id for t in merge(w)] for w in words]))
+            _MADE[path] = WordEncoder(rules, merged_by(tok))
         else:
             _MADE[path] = ChunkEncoder(lambda chunks: [e.ids for e in tok.encode_batch_fast(chunks, add_special_tokens=False)])
     return _MADE[path]

@@ -46,6 +46,30 @@ def test_cache_restarts_without_changing_ids(library):
         assert encoder(pa.array([text]))[0].tolist() == library[0](text)
 
 
+def test_words_are_merged_together(library):
+    """Distinct words of a batch go to the library some thousand a call, whatever chunks and texts they stand in."""
+    from shelfspark.llm.tokens import WordEncoder, WordRules, library_encoder
+
+    merge, calls = library_encoder(WORD_BPE).merge, []
+
+    def counted(words):
+        calls.append(len(words))
+        return merge(words)
+
+    encoder = WordEncoder(WordRules(WORD_BPE), counted)
+    texts = [*ODD, *(f"w{chr(97 + i % 26)}{i}x, Éé{i}ß. Σ{i}ΑΣ\u0378<|endoftext|>{i}" if i % 50 == 0 else f"Wörd{chr(97 + i % 26) * (i % 9)}, it's{i}" for i in range(1500))]
+    for _ in range(2):  # the second time all words are known
+        ids, at = encoder(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == library[0](t), i
+    assert sum(x > 1 for x in calls) == 1 and max(calls) > 100
+    small = WordEncoder(WordRules(WORD_BPE), merge, limit=3)
+    small.PART = 4
+    ids, at = small(pa.array(texts[:200], pa.string()))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(200)] == [library[0](t) for t in texts[:200]]
+    assert [x.tolist() for x in encoder(pa.array([], pa.string()))] == [[], [0]]
+
+
 def test_segment_tree_long_words_and_decoding(library):
     model = bpe.SegmentTreeBPE(WORD_BPE)
     rng = random.Random(5)
