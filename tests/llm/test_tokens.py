@@ -63,6 +63,7 @@ def test_words_are_merged_together(library):
         for i, t in enumerate(texts):
             assert ids[at[i] : at[i + 1]].tolist() == library[0](t), i
     assert sum(x > 1 for x in calls) == 1 and max(calls) > 100
+    assert isinstance(library_encoder(WORD_BPE), WordEncoder)  # what the shards and the packing take
     small = WordEncoder(WordRules(WORD_BPE), merge, limit=3)
     small.PART = 4
     ids, at = small(pa.array(texts[:200], pa.string()))
