@@ -134,14 +134,20 @@ def enrichment_cap(total_products: Column, total_pages: Column, visited: Column,
 
 def crawl_products(visited: DataFrame, pages: DataFrame, extract: Callable[[DataFrame], DataFrame], keys: list[Column]) -> DataFrame:
     """The rows that `extract` gives for the visited pages, in crawl order, each key's first row of a crawl only."""
+    return _placed(visited, extract(pages.join(visited.select("page_id").distinct().hint("merge"), "page_id", "left_semi")), keys)
+
+
+def _placed(visited: DataFrame, rows: DataFrame, keys: list[Column]) -> DataFrame:
     # neither side is ever broadcast: what a page gives can't be told from the size of its input
-    rows = extract(pages.join(visited.select("page_id").distinct().hint("merge"), "page_id", "left_semi")).hint("merge")
-    placed = rows.join(visited.select("crawl", "page_num", "page_id"), "page_id").withColumn("ord", F.struct("crawl", "page_num", "ord"))
+    placed = rows.hint("merge").join(visited.select("crawl", "page_num", "page_id"), "page_id").withColumn("ord", F.struct("crawl", "page_num", "ord"))
     for key in keys:  # a key counts within its crawl
         placed = first_of_each(placed, F.when(key != "", F.concat_ws(" ", F.col("crawl"), key)))
     return placed.withColumn("ord", F.col("ord.ord"))
 
 
 def crawl_links(visited: DataFrame, pages: DataFrame) -> DataFrame:
-    """(crawl, page_num, ord, product_url, alternatives): the product links of a crawl's pages, each where it is met first."""
-    return crawl_products(visited, pages, product_links, [F.col("product_url")]).select("crawl", "page_num", "ord", "product_url", "alternatives")
+    """(crawl, page_num, ord, product_url, alternatives): the product links of a crawl's pages, each where it is met first.
+
+    Links are taken where the pages stand, and only they meet the visits: no page is moved.
+    """
+    return _placed(visited, product_links(pages), [F.col("product_url")]).select("crawl", "page_num", "ord", "product_url", "alternatives")

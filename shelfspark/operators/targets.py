@@ -63,8 +63,8 @@ def target_score(url: Column, text: Column, source: Column, wraps_image: Column,
 def regions(page: Page) -> set[int]:
     """The nodes of a site's frame: whole elements by tag or exact id."""
     out: set[int] = set()
-    for i in page.below():
-        if i not in out and (page.tag(i) in REGION_TAGS or page.attr(i, "id").lower() in REGION_IDS):
+    for i, n in enumerate(page.nodes):
+        if (n["tag"] in REGION_TAGS or "id" in n["attrs"] and page.attr(i, "id").lower() in REGION_IDS) and i not in out:
             out |= {i, *page.below(i)}
     return out
 
@@ -72,7 +72,7 @@ def regions(page: Page) -> set[int]:
 def containers(page: Page, without: set[int] = frozenset()) -> list[int]:
     """The largest group of marked elements of one tag and classes, the first on ties; none of fewer than two."""
     groups: dict[tuple, list[int]] = defaultdict(list)
-    for i in page.below():
+    for i in page.having("class"):
         if i not in without and page.marked(i, CONTAINERS):
             groups[page.tag(i), tuple(sorted(page.nodes[i]["attrs"].get("class", "").split()))].append(i)
     best = max(groups.values(), key=len, default=[])
@@ -145,13 +145,28 @@ def _in_card(page: Page, a: int) -> bool:
     return False
 
 
-def scan_links(page: Page, url: str, without: set[int], carded: bool, signalled: bool) -> list[str]:
-    """Links on the page's host that no part of their URL rejects; with a product part and inside a card if so asked."""
-    out: dict[str, None] = {}
+def _any_in(words: list[str], text: str) -> bool:
+    for w in words:
+        if w in text:
+            return True
+    return False
+
+
+def open_links(page: Page, url: str) -> list[tuple[int, str, bool]]:
+    """(node, URL, whether it has a product part) of the links on the page's host that no part of their URL rejects."""
+    out, own = [], host(url)
     for a in page.all("a"):
         full = resolve(url, page.attr(a, "href"))
-        low = full.lower()
-        if a not in without and full and host(full) == host(url) and full not in out and not any(x in low for x in REJECTED) and (not signalled or any(x in low for x in SIGNALS)) and (not carded or _in_card(page, a)):
+        if full and host(full) == own and not _any_in(REJECTED, low := full.lower()):
+            out.append((a, full, _any_in(SIGNALS, low)))
+    return out
+
+
+def scan_links(page: Page, links: list[tuple[int, str, bool]], without: set[int], carded: bool, signalled: bool) -> list[str]:
+    """The URLs of `open_links`, each once; with a product part and inside a card if so asked."""
+    out: dict[str, None] = {}
+    for a, full, signal in links:
+        if a not in without and full not in out and (signal or not signalled) and (not carded or _in_card(page, a)):
             out[full] = None
     return list(out)
 
@@ -169,8 +184,9 @@ def link_passes(page: Page, url: str) -> Iterator[tuple[int, list[tuple[str, lis
             seen.add(good[0])
             by_card.append((good[0], good[1:]))
     yield 0, by_card if len(by_card) >= LEAST_MEMBERS else []
+    links = open_links(page, url)
     for n, (without, carded, signalled) in enumerate([(frame, True, True), (set(), False, True), (frame, True, False)], 1):
-        yield n, [(u, []) for u in scan_links(page, url, without, carded, signalled)]
+        yield n, [(u, []) for u in scan_links(page, links, without, carded, signalled)]
 
 
 def _plain_score(target: tuple, around: str) -> int:

@@ -1,11 +1,12 @@
 """Page operators at size: one pass a page, rows of several pages to a batch, plain markup without the tolerant parser."""
 
 import random
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import cards, crawl, structured
+from shelfspark.operators import cards, crawl, structured, targets
 from shelfspark.sources import dom
 from shelfspark.sources import nodes as tree
 
@@ -79,6 +80,32 @@ def test_rows_of_visited_pages_are_not_broadcast(spark):
     assert sorted((r.crawl, r.page_num, r.product_name) for r in got.collect()) == [(1, 1, "N1"), (1, 2, "N2"), (1, 3, "N3")]
 
 
+def test_links_are_taken_where_pages_stand(spark):
+    """Pages aren't moved to their visits: the links are, and only those of visited pages stay, each where it is met first."""
+    link = '<ul class="pagination"><li><a href="?page=2">Next</a></li></ul><img src="/x.png"><a href="/product/%d">x</a><a href="/cart">y</a><a href="/product/7">z</a>'
+    stored = spark.createDataFrame([(k, f"{U}?page={k}", link % k) for k in range(1, 5)], "page_id long, url string, html string")
+    visited = spark.createDataFrame([(1, 1, 1), (1, 2, 3), (2, 1, 3)], "crawl long, page_num int, page_id long")
+    got = crawl.crawl_links(visited, stored)
+    plan = plan_of(got)
+    assert "LeftSemi" not in plan and "Broadcast" not in plan
+    at = lambda k: f"https://s.example/product/{k}"
+    assert sorted((r.crawl, r.page_num, r.product_url) for r in got.collect()) == [(1, 1, at(1)), (1, 1, at(7)), (1, 2, at(3)), (2, 1, at(3)), (2, 1, at(7))]
+
+
+def test_a_pages_links_are_resolved_once(monkeypatch):
+    page = dom.Page('<nav><a href="/product/1">a</a></nav><a href="/x/2">b</a><a href="https://t.example/product/3">c</a><a href="/x/2">d</a>')
+    calls, resolve = [], targets.resolve
+    monkeypatch.setattr(targets, "resolve", lambda base, href: calls.append(href) or resolve(base, href))
+    assert [(n, [u for u, _ in found]) for n, found in targets.link_passes(page, U)][2:] == [(1, []), (2, ["https://s.example/product/1"]), (3, [])]
+    assert len(calls) == 4
+
+
+@pytest.mark.parametrize("base", ["https://s.example", U, f"{U}?page=1", "https://s.example/a;b", "https://s.example/a/../b#c", "http://S.example:8/%41//b/", "ftp://s.example/x"])
+@pytest.mark.parametrize("href", ["?page=2", "?", "?a=1&b=%20", "?a#f", "?a b", "??"])
+def test_queries_alone_resolve_as_by_general_rules(base, href):
+    assert dom.resolve(base, href) == urljoin(base, href)
+
+
 def test_a_cards_name_and_shape_are_worked_out_once(monkeypatch):
     card = '<div class="product-card"><img src="/i/%d.jpg"><h3>Nice bowl number %d</h3><span class="price">$%d.00</span><a href="/p/%d-bowl">see it</a><p>in stock now</p></div>'
     page = dom.Page("<title>Nice bowl</title>" + "".join(card % (k, k, k, k) for k in range(1, 5)))
