@@ -19,11 +19,13 @@ between words as one, so a passage in capitals or with other line breaks is a re
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from .shingles import Words, range_hashes, words_of
 
 RUN, LEAST_WORDS = 3, 15
 PIECE_WORDS, NEAR = 30, 5
+#: Whole runs that are dealt out at once: one for so many bytes of text, about what it takes on disk, and so many at least.
+PASS_BYTES, PASS_RUNS = 28, 1 << 20
 
 
 @dataclass
@@ -128,44 +132,63 @@ def _text_hash() -> F.Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def first_halves(docs: DataFrame) -> DataFrame:
-    """(h): the first half of the hash of every run."""
+def first_halves(docs: DataFrame, size: Accumulator[int], runs: Accumulator[int]) -> DataFrame:
+    """(h): the first half of the hash of every run. Adds the texts' bytes to `size` and the runs to `runs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_pydict({"h": split(b.column("text"), lanes=1)[2].run_hash[0].view(np.int64)})
+            data, _, sent = split(b.column("text"), lanes=1)
+            size.add(len(data))
+            runs.add(sent.run_hash.shape[1])
+            yield pa.RecordBatch.from_pydict({"h": sent.run_hash[0].view(np.int64)})
 
     return docs.select("text").mapInArrow(tidy(run), "h long")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """(h, g, doc_id, th, at): both halves of the hash of every run and its number in the text."""
+def spans(docs: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(h, g, doc_id, th, at): both halves of the hash of every run and its number in the text; of the runs whose h is `part` modulo `parts`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             _, _, sent = split(b.column("text"))
-            rows = np.arange(sent.run_hash.shape[1])
+            h, g = sent.run_hash.view(np.int64)
+            rows = np.flatnonzero(h % parts == part)
             owner = np.searchsorted(sent.first_run, rows, side="right") - 1
             take = pa.array(owner)
-            h, g = sent.run_hash.view(np.int64)
+            h, g = h[rows], g[rows]
             yield pa.RecordBatch.from_pydict({"h": h, "g": g, "doc_id": b.column("doc_id").take(take), "th": b.column("th").take(take), "at": (rows - sent.first_run[owner]).astype(np.int32)})
 
     return docs.select("doc_id", "text", _text_hash().alias("th")).mapInArrow(tidy(run), "h long, g long, doc_id long, th long, at int")
 
 
+def repeated_halves(docs: DataFrame) -> tuple[DataFrame, int]:
+    """((h, rows): the halves that several runs have and how many, in the shared folder; in how many passes whole runs are dealt out)."""
+    sc = docs.sparkSession.sparkContext
+    size, runs = sc.accumulator(0), sc.accumulator(0)
+    several = cut(first_halves(docs, size, runs).groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated-halves")
+    return several, max(1, -(-runs.value // max(PASS_RUNS, size.value // PASS_BYTES)))  # a repeated task counts again in both
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, th, starts): the runs of each document that are repeats of an earlier one, in the shared folder.
 
     Half hashes are counted before anything is joined, so a run that a third of the corpus shares is one row for each
     task; whole runs come back for the halves that several have, with how many rows have them, which tells hot keys.
+    They come in passes by their half, so that about as much as the texts is on disk at once, however short the pieces are.
     """
-    several = cut(first_halves(docs).groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated-halves")
-    shared = cut(spans(docs).join(several, "h"), "shared-runs")
-    place = F.struct("doc_id", "th", "at")
-    first = shared.groupBy("h", "g").agg(F.min(place).alias("low"), F.count("*").alias("n"), F.max("rows").alias("rows")).where("n > 1").select("h", "g", "low", "rows")
-    again = hot_join(shared, first, ["h", "g"], "rows", ["doc_id", "th", "at"]).where(~place.eqNullSafe(F.col("low")))
-    starts = cut(again.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("starts")), "repeats")
-    drop(several, shared)
+    several, parts = repeated_halves(docs)
+    place, found = F.struct("doc_id", "th", "at"), []
+    for part in range(parts):
+        shared = cut(spans(docs, part, parts).join(several.where(F.pmod("h", F.lit(parts)) == part), "h"), "shared-runs")
+        first = shared.groupBy("h", "g").agg(F.min(place).alias("low"), F.count("*").alias("n"), F.max("rows").alias("rows")).where("n > 1").select("h", "g", "low", "rows")
+        again = hot_join(shared, first, ["h", "g"], "rows", ["doc_id", "th", "at"]).where(~place.eqNullSafe(F.col("low")))
+        found.append(cut(again.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("starts")), "repeats"))
+        drop(shared)
+    drop(several)
+    if parts == 1:
+        return found[0]
+    starts = cut(functools.reduce(DataFrame.unionByName, found).groupBy("doc_id", "th").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts")), "repeats")
+    drop(*found)
     return starts
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from shelfspark.llm import language, ngram_join
+from shelfspark.llm import language, ngram_join, sentence_spans
 from shelfspark.llm.common import table
 
 from .conftest import DOCS, doc, prose
@@ -78,3 +78,31 @@ def test_thresholds_come_from_all_held_out_rows(spark, tables):
     for got, c in zip(language.least_sure(docs, model), ("lang_score", "lang_fit"), strict=True):
         exact = language.SHARE * np.quantile(right[c], language.QUANTILE, method="lower")
         assert got == pytest.approx(exact, abs=1.01 / language.STEPS)
+
+
+def test_whole_runs_are_dealt_out_in_passes(spark, tables, monkeypatch):
+    passage = prose(42, 63, sentence=7)
+    rows = [doc(i, f"{prose(100 + i, 60)} {passage if i % 3 else ''}\n{prose(300 + i // 2, 40)}") for i in range(40)]
+    rows += [doc(None, passage), doc(7, passage), doc(7, passage), doc(50, None), doc(51, ""), doc(52, "a. " * 400)]
+    docs = table(spark, tables(documents=(rows, DOCS)), "documents")
+    whole = sorted(map(str, sentence_spans.remove_repeats(docs).collect()))
+    assert sum("n_removed=0" not in r for r in whole) > 20
+    runs, size = sentence_spans.spans(docs).count(), sum(len(r[1] or "") for r in rows)
+    names, dealt, cut, spans = [], [], sentence_spans.cut, sentence_spans.spans
+    monkeypatch.setattr(sentence_spans, "PASS_RUNS", 1)
+    monkeypatch.setattr(sentence_spans, "cut", lambda df, name: (names.append(name), cut(df, name))[1])
+    monkeypatch.setattr(sentence_spans, "spans", lambda *given: (dealt.append(spans(*given)), dealt[-1])[1])
+    for share in (28, 60):
+        names.clear(), dealt.clear()
+        monkeypatch.setattr(sentence_spans, "PASS_BYTES", share)
+        assert sorted(map(str, sentence_spans.remove_repeats(docs).collect())) == whole
+        sizes = [d.count() for d in dealt]
+        assert sum(sizes) == runs and len(sizes) == names.count("shared-runs") > 1
+        assert max(sizes) < 1.5 * size / share  # before, one step dealt out all of them
+
+
+@pytest.mark.parametrize("rows", [[], [doc(1, None)], [doc(1, "")]])
+def test_passes_of_no_runs(spark, tables, rows):
+    d = tables(documents=(rows, DOCS))
+    got = sentence_spans.op8_sentence_spans(spark, d).collect()
+    assert [tuple(r) for r in got] == [(i, text, 0, 0) for i, text, *_ in rows]
