@@ -29,7 +29,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, fresh, hot_join, schema_of, slices, table, tidy
+from .common import cut, drop, fresh, hot_join, in_buckets, key_blocks, schema_of, slices, table, tidy
 from .grams import joined
 from .shingles import Words, range_hashes, words_of
 
@@ -37,6 +37,8 @@ RUN, LEAST_WORDS = 3, 15
 PIECE_WORDS, NEAR = 30, 5
 #: Whole runs that are dealt out at once: one for so many bytes of text, about what it takes on disk, and so many at least.
 PASS_BYTES, PASS_RUNS = 28, 1 << 20
+#: Buckets that halves are counted in, and halves that a task holds until it deals them out.
+BUCKETS, HELD_RUNS = 4096, 1 << 18
 
 
 @dataclass
@@ -133,16 +135,47 @@ def _text_hash() -> F.Column:
 
 
 def first_halves(docs: DataFrame, size: Accumulator[int], runs: Accumulator[int]) -> DataFrame:
-    """(h): the first half of the hash of every run. Adds the texts' bytes to `size` and the runs to `runs`."""
+    """(bucket, halves, met): the first halves of the hashes of all runs as 64-bit integers, dealt to BUCKETS by hash, and how often each
+    was met as 32-bit ones; equal ones of HELD_RUNS are one. Adds the texts' bytes to `size` and the runs to `runs`."""
+
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(held)
+        h.sort()
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return pa.RecordBatch.from_arrays(in_buckets(h[at] % np.uint64(BUCKETS), h[at], np.diff(np.append(at, len(h))).astype(np.int32)), ["bucket", "halves", "met"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
         for b in slices(batches):
             data, _, sent = split(b.column("text"), lanes=1)
             size.add(len(data))
             runs.add(sent.run_hash.shape[1])
-            yield pa.RecordBatch.from_pydict({"h": sent.run_hash[0].view(np.int64)})
+            if sent.run_hash.shape[1]:
+                held.append(sent.run_hash[0])
+                n += len(held[-1])
+            if n >= HELD_RUNS:
+                yield dealt(held)
+                held, n = [], 0
+        if held:
+            yield dealt(held)
+
+    return docs.select("text").mapInArrow(tidy(run), "bucket long, halves binary, met binary")
+
+
+def counted(halves: DataFrame) -> DataFrame:
+    """(h, rows): the halves that several runs have and how many. Memory: about 60 bytes for each half of a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buckets in key_blocks(batches, ["bucket"], whole=True):
+            h, n = (np.frombuffer(b"".join(buckets.column(c).to_pylist()), kind) for c, kind in (("halves", np.int64), ("met", np.int32)))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            rows = np.add.reduceat(n, at, dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"h": h[at][rows > 1], "rows": rows[rows > 1]})
 
-    return docs.select("text").mapInArrow(tidy(run), "h long")
+    return halves.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "h long, rows long")
 
 
 def spans(docs: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
@@ -165,7 +198,7 @@ def repeated_halves(docs: DataFrame) -> tuple[DataFrame, int]:
     """((h, rows): the halves that several runs have and how many, in the shared folder; in how many passes whole runs are dealt out)."""
     sc = docs.sparkSession.sparkContext
     size, runs = sc.accumulator(0), sc.accumulator(0)
-    several = cut(first_halves(docs, size, runs).groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated-halves")
+    several = cut(counted(first_halves(docs, size, runs)), "repeated-halves")
     return several, max(1, -(-runs.value // max(PASS_RUNS, size.value // PASS_BYTES)))  # a repeated task counts again in both
 
 

@@ -1,13 +1,13 @@
 """What is exchanged in buckets of many hashes a row, and what is not exchanged at all."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from shelfspark.llm import ngram_join
+from shelfspark.llm import ngram_join, sentence_spans
 from shelfspark.llm.common import cut, table
 from shelfspark.llm.shingles import shingle_sets
 
@@ -78,3 +78,19 @@ def test_small_parts_find_the_pairs_that_trees_find(spark, monkeypatch):
     assert found[0] and all(x == found[0] for x in found)
     links = {(a, b) for b in range(160) for a in range(b) if a // 3 != b // 3 and (a % 11 == b % 11 or a % 4 == b % 4) and ngram_join.linked(sets[a], sets[b])}
     assert links <= found[0] and links
+
+
+@pytest.mark.parametrize(("buckets", "held"), [(1, 1 << 18), (3, 1), (4096, 100)])
+def test_halves_are_counted_in_buckets(spark, tables, monkeypatch, buckets, held):
+    passage = prose(42, 63, sentence=7)
+    rows = [doc(i, f"{prose(100 + i, 60)} {passage if i % 3 else ''}\n{prose(300 + i // 2, 40)}") for i in range(40)] + [doc(None, passage), doc(50, None), doc(51, "")]
+    docs = table(spark, tables(documents=(rows, DOCS)), "documents")
+    expected = Counter(r.h for r in sentence_spans.spans(docs).select("h").collect())
+    monkeypatch.setattr(sentence_spans, "BUCKETS", buckets)
+    monkeypatch.setattr(sentence_spans, "HELD_RUNS", held)
+    several, _ = sentence_spans.repeated_halves(docs)
+    got = [tuple(r) for r in several.select("h", "rows").collect()]
+    assert got and sorted(got) == sorted((h, n) for h, n in expected.items() if n > 1)
+    sc = spark.sparkContext
+    dealt = sentence_spans.first_halves(docs.coalesce(1), sc.accumulator(0), sc.accumulator(0))
+    assert "halves" in dealt.columns and (held < 1 << 18 or dealt.count() == buckets)  # before, a row for each run
