@@ -121,7 +121,10 @@ class WordRules:
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the pieces of `flat` in a row, where each starts; one more entry for the end)."""
     after = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    return flat[np.repeat(start - after[:-1], size) + np.arange(after[-1])], after
+    kind = np.int32 if max(len(flat), after[-1]) < 1 << 31 else np.int64
+    at = np.repeat((start - after[:-1]).astype(kind), size)
+    at += np.arange(after[-1], dtype=kind)
+    return flat[at], after
 
 
 class WordEncoder:
